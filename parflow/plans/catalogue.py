@@ -1,2 +1,287 @@
-QUERIES = {}
-ORACLES = {}
+"""One query for each operator, and the SQL that it must agree with."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parflow.algos import programs
+from parflow.functions.scalars import exact_sum, split
+from parflow.operators.dataset import Dataset, apply
+from parflow.plans import barriers, params, ring
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(lambda name: Dataset(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
+            return out.df if isinstance(out, Dataset) else out
+
+        run.__name__ = f.__name__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) as disc_price from lineitem")
+def map(t):  # noqa: A001
+    return t("lineitem").map("l_orderkey", "l_linenumber", "l_extendedprice * (1 - l_discount) as disc_price")
+
+
+@query("select o_orderkey, o_totalprice * 2 as doubled from orders")
+def map_partition(t):
+    return t("orders").map("o_orderkey", "o_totalprice").map_batches(lambda p: pd.DataFrame({"o_orderkey": p.o_orderkey, "doubled": p.o_totalprice * 2}), "o_orderkey long, doubled double")
+
+
+@query("select l_orderkey, l_linenumber, l_quantity from lineitem where 10 > l_quantity")
+def filter(t):  # noqa: A001
+    return t("lineitem").filter(F.lit(10) > F.col("l_quantity")).map("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("select vec_id, unnest(embedding) as v from embeddings")
+def flatten(t):
+    return t("embeddings").map("vec_id", "embedding as v").flatten("v")
+
+
+@query("select doc_id, unnest(regexp_split_to_array(text, '[ \t\n]')) as w from documents")
+def flatmap(t):
+    return t("documents").map("doc_id", split(F.col("text")).alias("w")).flatten("w")
+
+
+_stop = ",".join(f"'{w}'" for w in programs.STOP_WORDS)
+
+
+@query(f"select w, count(*) as n from (select translate(unnest(regexp_split_to_array(text, '[ \t\n]')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from documents) t where strlen(w) > 0 and w not in ({_stop}) group by w")
+def flatmap_filter_wordcount(t):
+    return programs.word_count(t("documents"), "text")
+
+
+@query("select c_nationkey as k from customer union all select s_nationkey as k from supplier")
+def union(t):
+    return t("customer").map("c_nationkey as k").union(t("supplier").map("s_nationkey as k"))
+
+
+@query("select n_name from nation union all select n_name from nation")
+def union_self(t):
+    x = t("nation").map("n_name")
+    return x.union(x)
+
+
+@query("select o_custkey, o_orderkey from orders")
+def shuffle(t):
+    return t("orders").map("o_custkey", "o_orderkey").shuffle(key="o_custkey")
+
+
+@query("select l_returnflag, l_linestatus, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as s from lineitem group by 1, 2")
+def reduce_by_key_sum(t):
+    return t("lineitem").reduce_by_key(exact_sum("l_extendedprice").alias("s"), key=["l_returnflag", "l_linestatus"])
+
+
+@query("select event_type, max(value) as m from events group by 1")
+def reduce_by_key_max(t):
+    return t("events").reduce_by_key(F.max("value").alias("m"), key="event_type")
+
+
+@query("select case when value > 50 then 'a' else 'b' end as k, max(value) as m from events group by 1")
+def reduce_by_key_conditional(t):
+    return t("events").map("case when value > 50 then 'a' else 'b' end as k", "value as v").reduce_by_key(F.max("v").alias("m"))
+
+
+@query("select o_orderpriority, round(cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*), 4) as mean_price from orders group by 1")
+def reduce_by_key_mean(t):
+    pairs = t("orders").reduce_by_key(exact_sum("o_totalprice").alias("s"), F.count(F.lit(1)).alias("n"), key="o_orderpriority")
+    return pairs.map("o_orderpriority", "round(s / n, 4) as mean_price")
+
+
+@query("select max(o_totalprice) as m from orders")
+def reduce(t):
+    return t("orders").df.agg(F.max("o_totalprice").alias("m"))
+
+
+@query("select max(o_totalprice) as m from orders where o_totalprice < 0")
+def reduce_empty(t):
+    return t("orders").filter("o_totalprice < 0").df.agg(F.max("o_totalprice").alias("m"))
+
+
+@query("select greatest(cast(0 as double), coalesce(max(value), 0)) as m from events")
+def fold_max(t):
+    return t("events").df.agg(F.greatest(F.lit(0.0), F.coalesce(F.max("value"), F.lit(0.0))).alias("m"))
+
+
+@query("select cast(1000 + coalesce(sum(l_linenumber), 0) as bigint) as s from lineitem")
+def fold_sum(t):
+    return t("lineitem").df.agg((F.lit(1000) + F.coalesce(F.sum("l_linenumber"), F.lit(0))).cast("long").alias("s"))
+
+
+@query("select count(*) as n from lineitem where l_discount > 0.05")
+def count(t):
+    return t("lineitem").filter("l_discount > 0.05").df.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select r_regionkey, r_name from region")
+def collect(t):
+    return t("region").map("r_regionkey", "r_name")
+
+
+@query("select k, array_to_string(list_sort(list(v)), ',') as vs from (select o_custkey as k, o_orderkey as v from orders union all select c_custkey, c_custkey from customer) t group by k")
+def join(t):
+    both = t("orders").map("o_custkey as k", "o_orderkey as v").join(t("customer").map("c_custkey as k", "c_custkey as v"))
+    return both.map("k", "array_join(cast(array_sort(v) as array<string>), ',') as vs")
+
+
+@query("select k, count(*) as n from (select c_nationkey as k from customer where c_nationkey < 10 union all select s_nationkey from supplier where s_nationkey >= 5) t group by k")
+def join_one_sided(t):
+    return t("customer").filter("c_nationkey < 10").map("c_nationkey as k").join_counts(t("supplier").filter("s_nationkey >= 5").map("s_nationkey as k"))
+
+
+@query("select s_suppkey, s_acctbal > (select cast(avg(cast(s_acctbal as decimal(18,2))) as double) from supplier) as above from supplier")
+def broadcast_value(t):
+    mean = t("supplier").df.agg((exact_sum("s_acctbal") / F.count(F.lit(1))).alias("m"))  # one row
+    return t("supplier").map("s_suppkey", "s_acctbal").df.join(F.broadcast(mean)).select("s_suppkey", (F.col("s_acctbal") > F.col("m")).alias("above"))
+
+
+@query("select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey")
+def broadcast_lookup(t):
+    return t("customer").df.join(t("nation").df, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+
+
+@query("select r_name as name from region union all select n_name from nation")
+def apply_two(t):
+    return apply(lambda d: [d[0].union(d[1]), d[0]], [t("region").map("r_name as name"), t("nation").map("n_name as name")], 2)[0]
+
+
+QUERIES["apply"], ORACLES["apply"] = QUERIES.pop("apply_two"), ORACLES.pop("apply_two")
+
+
+@query("select user_id as k, arg_max(value, event_id) as v, max(event_id) as t from events group by 1")
+def param_set_get(t):
+    return params.last_write(t("events").map("user_id as k", "value as v", "event_id").df, "event_id")
+
+
+@query("select distinct user_id as k from events")
+def param_keys(t):
+    return params.Store(t("events").df.select(F.col("user_id").alias("k")).distinct()).keys()
+
+
+@query("select user_id as k, cast(10000 - sum(cast(value as decimal(18,2))) as double) as v, max(event_id) as t from events group by 1")
+def param_pull_merge(t):
+    return t("events").map("user_id as k", "value", "event_id").reduce_by_key((F.lit(10000) - F.sum(F.col("value").cast("decimal(18,2)"))).cast("double").alias("v"), F.max("event_id").alias("t"))
+
+
+def _progress(t) -> DataFrame:
+    return t("events").df.groupBy(F.col("user_id").alias("worker")).agg(F.count(F.lit(1)).alias("step"), (F.max("event_id") % 2).alias("busy"))
+
+
+@query("with ws as (select user_id as worker, count(*) as step from events group by 1) select worker, (select min(step) from ws) + 1 as t from ws")
+def barrier_bsp(t):
+    return barriers.admitted(_progress(t), "bsp")
+
+
+@query("with ws as (select user_id as worker, count(*) as step, max(event_id) % 2 as busy from events group by 1) select worker from ws where busy = 0 and step - ((select min(step) from ws) + 1) < 5")
+def barrier_ssp(t):
+    return barriers.admitted(_progress(t), "ssp", 5).select("worker")
+
+
+@query("select worker from (select user_id as worker, max(event_id) % 2 as busy from events group by 1) t where busy = 0")
+def barrier_asp(t):
+    return barriers.admitted(_progress(t), "asp").select("worker")
+
+
+_ring = "with n as (select n_name, (cast(n_nationkey as bigint) * 2654435761) % 1073741824 as h from nation), k as (select c_custkey, (c_custkey * 2654435761) % 1073741824 as h from customer) select c_custkey, {}(n_name, (n.h - k.h + 1073741824) % 1073741824) as owner from k cross join n group by 1"
+
+
+def _owner(t, far: bool) -> DataFrame:
+    nodes = ring.nodes_of(t("nation").df, "n_name", "n_nationkey")
+    return t("customer").df.select("c_custkey", ring.owner(ring.ring_hash(F.col("c_custkey")), nodes, far).alias("owner"))
+
+
+@query(_ring.format("arg_min"))
+def peer_owner(t):
+    return _owner(t, False)
+
+
+@query(_ring.format("arg_max"))
+def peer_furthest(t):
+    return _owner(t, True)
+
+
+@query("with p as (select o_orderkey as id, o_totalprice / 100000.0 as x, cast(o_custkey % 7 as double) as y from orders), c0(k, cx, cy) as (values (0, cast(1 as double), cast(1 as double)), (1, 2, 2), (2, 3, 3), (3, 4, 4)), a1 as (select id, x, y, k from p cross join c0 qualify row_number() over (partition by id order by (x-cx)*(x-cx)+(y-cy)*(y-cy), k) = 1), c1 as (select k, avg(x) as cx, avg(y) as cy from a1 group by k), a2 as (select id, x, y, k from p cross join c1 qualify row_number() over (partition by id order by (x-cx)*(x-cx)+(y-cy)*(y-cy), k) = 1) select k, round(avg(x), 6) as cx, round(avg(y), 6) as cy, count(*) as n from a2 group by k")
+def kmeans(t):
+    points = t("orders").map("o_totalprice / 100000.0D as x", "cast(o_custkey % 7 as double) as y").df
+    got = programs.k_means(points, ["x", "y"], [(1, 1), (2, 2), (3, 3), (4, 4)], 2)
+    return points.sparkSession.createDataFrame([(k, *c, n) for k, c, n in got], "k int, cx double, cy double, n long").withColumn("cx", F.round("cx", 6)).withColumn("cy", F.round("cy", 6))
+
+
+@query("with d as (select l_quantity / 50.0 as x, l_extendedprice / 100000.0 as y from lineitem), w1 as (select 0.1 - 0.1 * avg(2 * x * (0.1 * x - y)) as w from d), w2 as (select (select w from w1) - 0.1 * avg(2 * x * ((select w from w1) * x - y)) as w from d) select round(w, 6) as w from w2")
+def gradient_descent(t):
+    rows = t("lineitem").map("l_quantity / 50.0D as x", "l_extendedprice / 100000.0D as y").df
+    w = programs.descend(rows, ["x"], "y", [0.1], 0.1, 2)
+    return rows.sparkSession.createDataFrame([(w[0],)], "w double").select(F.round("w", 6).alias("w"))
+
+
+@query("select w, strlen(w) % 4 as topic, count(*) as n from (select unnest(regexp_split_to_array(text, '[ \t\n]')) as w from documents) t where strlen(w) > 0 group by 1, 2")
+def lda_counts(t):
+    words = t("documents").flatmap(split(F.col("text")), "w").filter("octet_length(w) > 0").df
+    return programs.lda_counts(words, (F.octet_length("w") % 4).cast("long"))
+
+
+@query()
+def sgd_minibatch(t):
+    rows = t("lineitem").map("l_quantity / 50.0D as x", "l_discount as z", "l_extendedprice / 100000.0D as y").df
+    m = programs.sgd(rows, ["x", "z"], ["y"], [[0.1], [0.1]], 0.1, 3, 1000, 7)
+    return rows.sparkSession.createDataFrame([(j, float(m[j, 0])) for j in range(2)], "i int, w double")
+
+
+@query()
+def lda_gibbs(t):
+    words = split(F.col("text"))
+    docs = t("documents").df.select(F.col("doc_id").alias("doc"), F.transform(F.filter(words, lambda w: F.octet_length(w) > 0), lambda w: F.pmod(F.xxhash64(w), F.lit(2000)).cast("int")).alias("words"))
+    state, _ = programs.lda(docs, 8, 1)
+    return state.select("doc", F.size("z").alias("n"))
+
+
+@query()
+def sample(t):
+    return t("lineitem").map("l_orderkey", "l_linenumber").sample(0.1, 11)
+
+
+@query()
+def bounded_count(t):
+    d = t("orders")
+    return d.df.sparkSession.createDataFrame([(d.map("o_orderkey").bounded_count(60_000),)], "n long")
+
+
+@query()
+def collect_nested(t):
+    d = t("nation").map("n_name")
+    return d.df.sparkSession.createDataFrame([(i, len(p)) for i, p in enumerate(d.collect())], "part int, n int")
+
+
+@query()
+def workers(t):
+    from parflow.context import Context
+
+    spark = t("region").df.sparkSession
+    return spark.createDataFrame([(w,) for w in Context(spark).workers()], "worker string")
+
+
+@query()
+def save_bytes(t):
+    from parflow.sources import io
+
+    d = t("region")
+    spark = d.df.sparkSession
+    return spark.createDataFrame([(io.save(d, f"parquet://{io.shared_dir(spark)}/save_bytes"),)], "bytes long")
+
+
+@query("select 48000000.0::double as s")
+def ndarray_ops(t):
+    a = programs.NdArray.ones(t("region").df.sparkSession, (200, 300, 400)).map(lambda v: v + 1)
+    return a.df.agg(F.sum("value").alias("s"))
