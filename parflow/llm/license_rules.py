@@ -178,8 +178,9 @@ ijg|3|0.9|jpeg|this software is based in part on the work of the independent jpe
 blueoak-1.0.0|3|0.95|oak|blue oak model license(?: 1 0 0)?
 upl-1.0|3|0.95|universal|universal permissive license(?: version| v)? ?1?(?: 0)?
 mulan-2.0|3|0.95|mulan|mulan (?:permissive|psl)(?: software)?(?: license)?(?: version| v)? ?2?
-openrail|3|0.95|openrail|(?:creativeml )?open ?rail m?
-openrail|3|0.95|openrail|bigscience (?:bloom )?(?:open)?rail(?: m)?(?: 1 0)?
+openrail|3|0.95|openrail|(?:creativeml )?openrail(?: m)?
+openrail|3|0.95|rail|(?:creativeml )?open rail(?: m)?
+openrail|3|0.95|bigscience|bigscience (?:bloom )?(?:open)?rail(?: m)?(?: 1 0)?
 llama-2|3|0.95|llama|llama 2 community license(?: agreement)?
 llama-3|3|0.95|llama|(?:meta )?llama 3(?: \d)? community license(?: agreement)?
 gemma|3|0.95|gemma|gemma terms of use
