@@ -271,7 +271,7 @@ research-only|3|0.85|research|for research (?:use|purposes) only
 research-only|3|0.85|academic|for academic (?:use|purposes) only
 personal-use|3|0.85|personal|for personal use only
 internal-use|3|0.85|internal|for internal use only
-no-ai-training|3|0.9|training|(?:may|must|shall) not be used (?:for|to) train(?:ing)?(?: of)?(?: any)? (?:ai|machine learning|language) models?
+no-ai-training|3|0.9|models|(?:may|must|shall) not be used (?:for|to) train(?:ing)?(?: of)?(?: any)? (?:ai|machine learning|language) models
 copyright|2|0.6|copyright|(?:c )?copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)?\d\d)?
 copyright|1|0.5|copyright|copyright (?:c|holders?|notice|owner)
 copyright|1|0.5|copyrighted|copyrighted (?:work|material)
