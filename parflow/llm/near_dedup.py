@@ -31,9 +31,11 @@ from .shingles import common, mix64, shingle_set
 BANDS, ROWS = 28, 4
 #: Words of 64 bits in an odd sketch.
 SKETCH = 8
-#: A pair whose sketches put it so far below the threshold is dropped: about eight standard deviations of the estimate.
-MARGIN = 0.3
+#: A pair whose sketches put it so far below the threshold is dropped: about six standard deviations of the estimate.
+MARGIN = 0.2
 CENTRES = 3
+#: Texts on either side of a cell in which pairs are confirmed.
+CELL = 64
 _rng = np.random.default_rng(20)
 FACTORS = (_rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64) | np.uint64(1)).astype(np.uint32)
 MASKS = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
@@ -102,27 +104,34 @@ def close(percent: int, a: str, b: str):
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Those of pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
-        for batch in batches:
-            for part in slices(batch, "text_b"):
-                ok = []
-                for a, ta, tb in zip(part.column("a").to_pylist(), part.column("text_a"), part.column("text_b")):
-                    if a != last:
-                        last, kept = a, shingle_set(ta.as_py())
-                    other = shingle_set(tb.as_py())
-                    both = common(kept, other)
-                    ok.append(100 * both >= percent * (len(kept) + len(other) - both) > 0)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(wanted, "doc_id", "left_semi")
-    texts = materialise(texts, "texts")
-    b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
+    Pairs of one neighbourhood (named by the smallest neighbour of a) are dealt into cells by the hashes of a and b, so that a
+    cell has about ``CELL`` texts on either side. A text goes once to each of its cells rather than once to each of its pairs.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c"))
+    pairs = pairs.join(near, "a")
+    nodes = pairs.select("c", "a").unionByName(pairs.select("c", F.col("b").alias("a"))).distinct().groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("blocks"))
+    block = lambda x: F.pmod(F.xxhash64(x), F.col("blocks"))
+    cells = materialise(pairs.join(nodes, "c").select("c", block("a").alias("x"), block("b").alias("y"), "a", "b"), "cells")
+    wanted = cells.select("c", "x", "y", F.col("a").alias("doc_id")).unionByName(cells.select("c", "x", "y", F.col("b").alias("doc_id"))).distinct()
+    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(wanted, "doc_id").select("c", "x", "y", "doc_id", "text")
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for d, t in zip(texts.column("doc_id").to_pylist(), texts.column("text")):
+            sets.setdefault(d, []).append(shingle_set(t.as_py()))
+        out = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            for p in sets.get(a, []):
+                if any(100 * (both := common(p, q)) >= percent * (len(p) + len(q) - both) > 0 for q in sets.get(b, [])):
+                    out.append((a, b))
+                    break
+        return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    found = cells.groupBy("c", "x", "y").cogroup(texts.groupBy("c", "x", "y")).applyInArrow(run, "a long, b long")
+    return materialise(found, "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
