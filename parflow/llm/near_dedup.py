@@ -116,7 +116,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     block = lambda x: F.pmod(F.xxhash64(x), F.col("blocks"))
     cells = materialise(pairs.join(nodes, "c").select("c", block("a").alias("x"), block("b").alias("y"), "a", "b"), "cells")
     wanted = cells.select("c", "x", "y", F.col("a").alias("doc_id")).unionByName(cells.select("c", "x", "y", F.col("b").alias("doc_id"))).distinct()
-    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(wanted, "doc_id").select("c", "x", "y", "doc_id", "text")
+    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(wanted, "doc_id").select(F.col("c").alias("tc"), F.col("x").alias("tx"), F.col("y").alias("ty"), "doc_id", "text")
 
     def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
         sets: dict[int, list[np.ndarray]] = {}
@@ -130,7 +130,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     break
         return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    found = cells.groupBy("c", "x", "y").cogroup(texts.groupBy("c", "x", "y")).applyInArrow(run, "a long, b long")
+    found = cells.groupBy("c", "x", "y").cogroup(texts.groupBy("tc", "tx", "ty")).applyInArrow(run, "a long, b long")
     return materialise(found, "links")
 
 
