@@ -1,10 +1,15 @@
 """Operator 9: benchmark decontamination by spaced-seed hashing.
 
 A mask keeps some positions of a window of words and ignores the others. The kept words of every window of every benchmark
-item are hashed under each mask, and so are those of every document; where hashes meet, the item is laid over the document
-at that place and words are compared one by one. An item is found where at least ``percent`` of its words agree, whatever
-stands at the others: the masks together meet any such place of an item of ten words or more (checked by a test over all sets
-of substituted positions), shorter ones at least where it is copied unchanged.
+item are hashed under each mask, and so are those of every document; an item's windows are also hashed as they would read with
+one word left out or put in. Where hashes meet, stretches of the item are aligned with the document round that place, and errors
+are counted: words substituted, left out or put in. An item is found where
+
+- the whole item, or any ``STRETCH`` words of it in a row, have at most 100 - ``percent`` % errors, or
+- any ``RUN`` words of it in a row stand unchanged.
+
+So a long enough part of an item counts like the whole. The seeds meet every such place of five words or more (words left out
+or put in between two pieces join them, if the pieces have four words together; a test tries all sets of errors).
 
 The benchmark goes to the executors in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents each, so what is
 sent is bounded however large the benchmark is. Documents are not shuffled.
@@ -26,6 +31,11 @@ from .shingles import ODD, mix64
 
 #: Positions kept.
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 4, 5), (0, 1, 3, 6))
+#: Masks as items are hashed: (number of the mask it is compared under, positions). Beyond the masks themselves, four words in a
+#: row of the document may be such as have one more word between them in the item, and the other way round.
+ITEM_MASKS = (*enumerate(MASKS), *((0, MASKS[g]) for g in (1, 2, 3)), *((g, MASKS[0]) for g in (1, 2, 3)))
+#: Words in a row of an item that are enough: with some errors, and without any.
+STRETCH, RUN = 40, 25
 #: Shorter items are not looked for: a few common words are no leak.
 LEAST_WORDS = 5
 BLOCK_WORDS = 1_000_000
@@ -39,9 +49,9 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_table).split()
 
 
-def seeds(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def seeds(codes: np.ndarray, masks: tuple = tuple(enumerate(MASKS))) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each mask: places where all kept words have codes, and their hashes."""
-    for m, mask in enumerate(MASKS):
+    for m, mask in masks:
         k = len(codes) - mask[-1]
         if k <= 0:
             continue
@@ -66,16 +76,50 @@ class Matcher:
             for w in ws:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         self.lengths = np.array([len(w) for _, w in items], np.int64)
-        most = int(self.lengths.max()) if len(items) else 0
         self.codes = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
-        self.most = most
-        got = [(h, np.full(len(at), i), at) for i, c in enumerate(self.codes) for at, h in seeds(c)]
+        got = [(h, np.full(len(at), i, np.int32), at.astype(np.int32)) for i, c in enumerate(self.codes) for at, h in seeds(c, ITEM_MASKS)]
         hashes, item, place = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.item, self.place = hashes[order].astype(np.uint64), item[order], place[order]
         self.bloom = np.zeros(1 << FILTER_BITS, bool)
         self.bloom[(self.hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def stretches(self, size: int) -> list[tuple[int, int]]:
+        """(words in a row, errors allowed) of which any one is enough. Beyond nine stretches a whole item always holds a good one."""
+        errors = lambda w: w * (100 - self.percent) // 100
+        return [(w, errors(w)) for w in sorted({min(size, STRETCH), size if size < 9 * STRETCH else STRETCH})] + [(RUN, 0)] * (size > RUN)
+
+    @staticmethod
+    def aligned(codes: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, w: int, errors: int) -> np.ndarray:
+        """Whether ``w`` words in a row of item ``c``, laid at ``first`` within lo to hi, agree but for ``errors``; a banded edit distance."""
+        shift = np.arange(-errors, errors + 1)
+        ok = np.zeros(len(first), bool)
+
+        def same(at: np.ndarray, k: np.ndarray, want: np.ndarray) -> np.ndarray:
+            inside = (at >= lo[k][:, None]) & (at < hi[k][:, None])
+            return (codes[np.where(inside, at, 0)] == want) & inside
+
+        step = 1 + 2_000_000 // len(c)
+        for z in range(0, len(first), step):
+            k = np.arange(z, min(z + step, len(first)))
+            # no alignment has more words that agree than stand anywhere in reach
+            can = np.zeros((len(k), len(c) + 1), np.int32)
+            for s in shift:
+                can[:, 1:] |= same(first[k][:, None] + np.arange(len(c)) + s, k, c)
+            total = can.cumsum(1)
+            row, start = np.nonzero(total[:, w:] - total[:, :-w] >= w - errors)
+            part = 1 + 2_000_000 // len(shift)
+            for y in range(0, len(row), part):
+                r, a = k[row[y : y + part]], start[y : y + part]
+                r, a = r[~ok[r]], a[~ok[r]]
+                cost = np.zeros((len(r), len(shift)), np.int32)
+                for j in range(w):
+                    new = cost + ~same((first[r] + a + j)[:, None] + shift, r, c[a + j][:, None])
+                    new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
+                    cost = np.minimum.accumulate(new - shift, 1) + shift
+                ok[r[cost.min(1) <= errors]] = True
+        return ok
+
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(number of the text, number of the item, first word, words that agree), each item once a text, where it agrees best."""
         parts, starts, n = [], [], 0
@@ -103,20 +147,28 @@ class Matcher:
         place, item = np.concatenate(places, 1), np.concatenate(items)
         keys = np.unique(np.stack([place[1], item, place[0]]), axis=1)
         ends = np.append(starts[1:], n)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        out = []
         for i in np.unique(keys[1]):
-            own = keys[:, keys[1] == i]
+            doc, _, first = keys[:, keys[1] == i]
             c, size = self.codes[i], len(self.codes[i])
-            for k in range(0, own.shape[1], 1 + 2_000_000 // size):
-                doc, _, first = own[:, k : k + 1 + 2_000_000 // size]
-                at = first[:, None] + np.arange(size)
-                inside = (at >= starts[doc][:, None]) & (at < ends[doc][:, None])
-                same = ((codes[np.where(inside, at, 0)] == c) & inside).sum(1)
-                for j in np.flatnonzero(100 * same >= self.percent * size):
-                    key, value = (int(doc[j]), int(i)), (int(same[j]), int(starts[doc[j]] - first[j]))
-                    if value > best.get(key, (0, 0)):
-                        best[key] = value
-        return [(d, i, -first, same) for (d, i), (same, first) in sorted(best.items())]
+            ok = np.zeros(len(doc), bool)
+            for w, errors in self.stretches(size):
+                left = np.flatnonzero(~ok)
+                ok[left] = self.aligned(codes, c, starts[doc[left]], ends[doc[left]], first[left], w, errors)
+            near = size * (100 - self.percent) // 100
+            for d in np.unique(doc[ok]):
+                def agree(f: np.ndarray) -> np.ndarray:
+                    at = f[:, None] + np.arange(size)
+                    inside = (at >= starts[d]) & (at < ends[d])
+                    return (codes[np.where(inside, at, 0)] == c) & inside
+
+                own = first[ok & (doc == d)]
+                step = 1 + 2_000_000 // size
+                best = own[np.concatenate([agree(own[k : k + step]).sum(1) for k in range(0, len(own), step)]).argmax()]
+                # pieces that words left out or put in have shifted
+                beside = first[(doc == d) & (np.abs(first - best) <= near)]
+                out.append((int(d), int(i), int(best - starts[d]), int(agree(beside).any(0).sum())))
+        return sorted(out)
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[bytes]]]]:
@@ -137,7 +189,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, most: int
     """Items found in documents: (doc_id, item_id, first_word, n_same, n_words), each item once a row of ``docs``.
 
     Looks at doc_id and text, item_id and text alone. Null texts hold nothing, null items are not looked for; repeated items
-    are found each; a negative first_word means that the item's beginning lies before the text's.
+    are found each. n_same counts the item's words that agree at first_word or, shifted, near it; it is small where only a part
+    is quoted. A negative first_word means that the item's beginning lies before the text's.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, first_word long, n_same long, n_words long"

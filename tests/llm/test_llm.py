@@ -366,6 +366,42 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_parts_and_shifted_copies(spark):
+    r = random.Random(6)
+    item = {n: [f"i{n}x{k}" for k in range(n)] for n in (12, 40, 59, 500)}
+    other = lambda n: [f"o{r.randrange(300)}" for _ in range(n)]
+    put = lambda ws, *at: [x for k, w in enumerate(ws) for x in ([f"new{k}", w] if k in at else [w])]
+    left = lambda ws, *at: [w for k, w in enumerate(ws) if k not in at]
+    swap = lambda ws, *at: [f"new{k}" if k in at else w for k, w in enumerate(ws)]
+    found = [item[500][100:350], item[59][:40], item[59][19:], item[500][460:], item[40][5:30]]
+    found += [f(ws, len(ws) // 2) for ws in item.values() for f in (put, left)]
+    found += [put(left(item[40], 9, 10), 20, 30), left(item[500], *range(7, 500, 9)), put(item[500][:60], *range(5, 60, 6)), left(item[12], 3, 8), put(swap(item[12], 4), 8)]
+    clean = [item[500][:20], item[40][:20], item[12][:9], swap(item[40], *range(0, 40, 3)), put(item[40], *range(1, 40, 3)), left(item[500], *range(0, 500, 3)), item[59][:15] + other(30) + item[59][44:]]
+    rows = [(k, " ".join(other(r.randint(0, 60)) + ws + other(r.randint(0, 60)))) for k, ws in enumerate(found + clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(ws)) for n, ws in item.items()], "item_id long, text string")
+    assert sorted(x["doc_id"] for x in decontaminate.contaminated(docs, bench).collect()) == list(range(len(found)))
+    assert sorted(x["doc_id"] for x in decontaminate.decontaminated(docs, bench).collect()) == list(range(len(found), len(rows)))
+    same = {x["doc_id"]: x["n_same"] for x in decontaminate.overlaps(docs, bench).collect()}
+    assert same[0] == 250 and same[1] == 40 and same[5] == 12 and same[7] == 40 and same[8] == 39
+
+
+def test_seeds_meet_every_tolerated_error():
+    import itertools
+
+    for n in range(5, 17):
+        c = [f"w{k}" for k in range(n)]
+        m = decontaminate.Matcher([(1, decontaminate.words(" ".join(c)))], 80)
+        texts = []
+        for at in itertools.combinations_with_replacement(range(n), n // 5):
+            for kinds in itertools.product("sdi", repeat=n // 5):
+                parts = [[w] for w in c]
+                for k, kind in zip(at, kinds):
+                    parts[k] = {"s": ["x"], "d": [], "i": ["x", *parts[k]]}[kind]
+                texts.append(" ".join(w for x in parts for w in x))
+        assert {d for d, *_ in m.find(texts)} == set(range(len(texts))), n
+
+
 # -- 10
 def test_license_scan(spark, empty):
     texts = [None, "", "CC-BY cc by. All rights reserved", "Licensed under the Apache License, Version 2.0. cc by-sa 4.0", "GNU General Public License, version 3; general public license", "É mit ümit MIT License x", "the gnu general public license as nothing", "cc by cc by cc by nc", "word " * 30000 + "BSD 3-clause license"]
