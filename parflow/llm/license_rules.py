@@ -54,8 +54,12 @@ gpl|4|0.9|gnu|you should have received a copy of the gnu general public license
 gpl-2.0|3|0.95|general|(?:gnu )?general public license(?: gpl)?(?: version| v)? ?v?2(?: 0)?
 gpl-3.0|3|0.95|general|(?:gnu )?general public license(?: gpl)?(?: version| v)? ?v?3(?: 0)?
 gpl-1.0|3|0.95|general|(?:gnu )?general public license(?: gpl)?(?: version| v)? ?v?1(?: 0)?
-gpl-2.0|3|0.95|gpl|gpl ?v?2(?: 0)?(?: only)?
-gpl-3.0|3|0.95|gpl|gpl ?v?3(?: 0)?(?: only)?
+gpl-2.0|3|0.95|gpl|gpl v?2(?: 0)?(?: only)?
+gpl-2.0|3|0.95|gpl2|gpl2(?: 0)?(?: only)?
+gpl-2.0|3|0.95|gplv2|gplv2(?: 0)?(?: only)?
+gpl-3.0|3|0.95|gpl|gpl v?3(?: 0)?(?: only)?
+gpl-3.0|3|0.95|gpl3|gpl3(?: 0)?(?: only)?
+gpl-3.0|3|0.95|gplv3|gplv3(?: 0)?(?: only)?
 gpl-2.0|3|0.95|gplv2|(?:gnu )?gplv2
 gpl-3.0|3|0.95|gplv3|(?:gnu )?gplv3
 gpl-2.0+|3|0.95|gpl|gpl 2 0 or later
@@ -69,8 +73,12 @@ lgpl-3.0+|4|1.0|lesser|gnu lesser general public license as published by the fre
 lgpl-2.1|3|0.95|lesser|(?:gnu )?lesser general public license(?: lgpl)?(?: version| v)? ?v?2 1
 lgpl-3.0|3|0.95|lesser|(?:gnu )?lesser general public license(?: lgpl)?(?: version| v)? ?v?3(?: 0)?
 lgpl-2.0|3|0.95|library|(?:gnu )?library general public license(?: lgpl)?(?: version)? ?2(?: 0)?
-lgpl-2.1|3|0.95|lgpl|lgpl ?v?2 1
-lgpl-3.0|3|0.95|lgpl|lgpl ?v?3(?: 0)?
+lgpl-2.1|3|0.95|lgpl|lgpl v?2 1
+lgpl-2.1|3|0.95|lgpl2|lgpl2 1
+lgpl-2.1|3|0.95|lgplv2|lgplv2 1
+lgpl-3.0|3|0.95|lgpl|lgpl v?3(?: 0)?
+lgpl-3.0|3|0.95|lgpl3|lgpl3(?: 0)?
+lgpl-3.0|3|0.95|lgplv3|lgplv3(?: 0)?
 lgpl-2.1|3|0.95|lgplv2|lgplv2 1
 lgpl-3.0|3|0.95|lgplv3|lgplv3
 lgpl|2|0.85|lesser|(?:gnu )?lesser general public licen[cs]e
@@ -79,7 +87,9 @@ lgpl|2|0.8|lgpl|(?:gnu )?lgpl
 agpl-3.0|4|1.0|affero|gnu affero general public license as published by the free software foundation either version 3
 agpl-3.0|3|0.95|affero|(?:gnu )?affero general public license(?: agpl)?(?: version| v)? ?v?3(?: 0)?
 agpl-1.0|3|0.95|affero|affero general public license(?: version)? 1(?: 0)?
-agpl-3.0|3|0.95|agpl|agpl ?v?3(?: 0)?
+agpl-3.0|3|0.95|agpl|agpl v?3(?: 0)?
+agpl-3.0|3|0.95|agpl3|agpl3(?: 0)?
+agpl-3.0|3|0.95|agplv3|agplv3(?: 0)?
 agpl-3.0|3|0.95|agplv3|agplv3
 agpl|2|0.85|affero|(?:gnu )?affero general public licen[cs]e
 agpl|2|0.8|agpl|(?:gnu )?agpl
@@ -92,8 +102,12 @@ mpl-2.0|4|1.0|mozilla|this source code form is subject to the terms of the mozil
 mpl-2.0|3|0.95|mozilla|mozilla public license(?: version| v)? ?v?2(?: 0)?
 mpl-1.1|3|0.95|mozilla|mozilla public license(?: version| v)? ?v?1 1
 mpl-1.0|3|0.95|mozilla|mozilla public license(?: version| v)? ?v?1 0
-mpl-2.0|3|0.95|mpl|mpl ?v?2(?: 0)?
-mpl-1.1|3|0.95|mpl|mpl ?v?1 1
+mpl-2.0|3|0.95|mpl|mpl v?2(?: 0)?
+mpl-2.0|3|0.95|mpl2|mpl2(?: 0)?
+mpl-2.0|3|0.95|mplv2|mplv2(?: 0)?
+mpl-1.1|3|0.95|mpl|mpl v?1 1
+mpl-1.1|3|0.95|mpl1|mpl1 1
+mpl-1.1|3|0.95|mplv1|mplv1 1
 mpl|2|0.85|mozilla|mozilla public licen[cs]e
 npl-1.1|3|0.9|netscape|netscape public license(?: version)? 1 1
 npl|2|0.8|netscape|netscape public licen[cs]e
@@ -101,11 +115,19 @@ epl-2.0|3|0.95|eclipse|eclipse public license(?: version| v)? ?v?2(?: 0)?
 epl-1.0|3|0.95|eclipse|eclipse public license(?: version| v)? ?v?1(?: 0)?
 epl|2|0.85|eclipse|eclipse public licen[cs]e
 edl-1.0|3|0.9|eclipse|eclipse distribution license(?: version| v)? ?1(?: 0)?
-epl-2.0|3|0.95|epl|epl ?v?2(?: 0)?
-epl-1.0|3|0.95|epl|epl ?v?1(?: 0)?
+epl-2.0|3|0.95|epl|epl v?2(?: 0)?
+epl-2.0|3|0.95|epl2|epl2(?: 0)?
+epl-2.0|3|0.95|eplv2|eplv2(?: 0)?
+epl-1.0|3|0.95|epl|epl v?1(?: 0)?
+epl-1.0|3|0.95|epl1|epl1(?: 0)?
+epl-1.0|3|0.95|eplv1|eplv1(?: 0)?
 cpl-1.0|3|0.9|common|common public license(?: version)? ?1(?: 0)?
-cddl-1.0|3|0.95|cddl|cddl ?v?1(?: 0)?
-cddl-1.1|3|0.95|cddl|cddl ?v?1 1
+cddl-1.0|3|0.95|cddl|cddl v?1(?: 0)?
+cddl-1.0|3|0.95|cddl1|cddl1(?: 0)?
+cddl-1.0|3|0.95|cddlv1|cddlv1(?: 0)?
+cddl-1.1|3|0.95|cddl|cddl v?1 1
+cddl-1.1|3|0.95|cddl1|cddl1 1
+cddl-1.1|3|0.95|cddlv1|cddlv1 1
 cddl|2|0.85|cddl|cddl
 cddl|2|0.85|distribution|common development and distribution licen[cs]e
 cpal-1.0|3|0.9|attribution|common public attribution licen[cs]e
@@ -116,8 +138,12 @@ afl-3.0|3|0.95|academic|academic free license(?: version| v)? ?3 0
 afl|2|0.8|academic|academic free licen[cs]e
 ecl-2.0|3|0.9|educational|educational community license(?: version)? ?2 0
 ecl|2|0.8|educational|educational community licen[cs]e
-eupl-1.2|3|0.95|eupl|eupl ?v?1 2
-eupl-1.1|3|0.95|eupl|eupl ?v?1 1
+eupl-1.2|3|0.95|eupl|eupl v?1 2
+eupl-1.2|3|0.95|eupl1|eupl1 2
+eupl-1.2|3|0.95|euplv1|euplv1 2
+eupl-1.1|3|0.95|eupl|eupl v?1 1
+eupl-1.1|3|0.95|eupl1|eupl1 1
+eupl-1.1|3|0.95|euplv1|euplv1 1
 eupl|2|0.85|eupl|eupl
 eupl|2|0.85|european|european union public licen[cs]e
 cecill|3|0.9|cecill|cecill(?: [abc])?(?: licen[cs]e)?
@@ -185,7 +211,9 @@ llama-2|3|0.95|llama|llama 2 community license(?: agreement)?
 llama-3|3|0.95|llama|(?:meta )?llama 3(?: \d)? community license(?: agreement)?
 gemma|3|0.95|gemma|gemma terms of use
 ofl-1.1|3|0.95|sil|sil open font license(?: version)? ?1?(?: 1)?
-ofl-1.1|3|0.95|ofl|ofl ?v?1 1
+ofl-1.1|3|0.95|ofl|ofl v?1 1
+ofl-1.1|3|0.95|ofl1|ofl1 1
+ofl-1.1|3|0.95|oflv1|oflv1 1
 odbl-1.0|3|0.95|database|open (?:data commons )?open database license(?: odbl)?(?: v ?1 0)?
 odbl-1.0|3|0.95|database|open database licen[cs]e
 odbl-1.0|3|0.95|odbl|odbl(?: v?1 0)?
@@ -265,7 +293,7 @@ proprietary|2|0.8|commercial|commercial licen[cs]e
 proprietary|2|0.8|eula|eula
 proprietary|2|0.8|user|end user licen[cs]e agreement
 trade-secret|3|0.9|trade|trade secrets? of
-noncommercial|3|0.85|commercial|for non ?commercial (?:use|purposes) only
+noncommercial|3|0.85|commercial|for non commercial (?:use|purposes) only
 noncommercial|3|0.85|noncommercial|for noncommercial (?:use|purposes) only
 research-only|3|0.85|research|for research (?:use|purposes) only
 research-only|3|0.85|academic|for academic (?:use|purposes) only

@@ -431,6 +431,51 @@ def test_every_rule_holds_its_gate():
         assert 0 < weight <= 1 and re.search(rf"(?<![a-z0-9]){gate}(?![a-z0-9])", re.sub(r"\?:|\\S|\\d", " ", pattern)), label
 
 
+def matches(pattern):
+    """Texts that the pattern matches, every choice taken and every repeat as often as its least and most (4 times at most)."""
+    import itertools
+
+    def of(tokens):
+        return ["".join(x) for x in itertools.product(*map(one, tokens))]
+
+    def one(token):
+        op, arg = str(token[0]), token[1]
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            return ["7"] if "CATEGORY_DIGIT" in str(arg) else ["x"] if "CATEGORY_NOT_SPACE" in str(arg) else [chr(x) for _, x in arg]
+        if op == "MAX_REPEAT":
+            return list({"".join(x) for n in {arg[0], min(arg[1], 4)} for x in itertools.product(of(arg[2])[:3], repeat=n)})
+        if op == "SUBPATTERN":
+            return of(arg[3])
+        assert op == "BRANCH", op
+        return [x for branch in arg[1] for x in of(branch)]
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_match_holds_its_gate():
+    for label, _, _, gate, pattern in RULES:
+        for text in matches(pattern):
+            assert re.fullmatch(pattern, text) and gate in text.split(), (label, pattern, text)
+
+
+def test_license_scan_without_gates(spark):
+    names = ["gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "ofl"]
+    versions = ["2", "3", "v2", "v3", "2.0", "v2.0", "1.0", "v1.0", "1", "v1", "1.1", "v1.1", "v1.2", "1.2", "v2.1", "3.0 only", "v2 only"]
+    texts = [f"It is under {n.upper()}{s}{v} now" for n in names for v in versions for s in ("", " ", "-")] + ["for noncommercial use only", "for non-commercial use only"]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        line, found = " " + " ".join(re.findall("[a-z0-9]+", t.lower())) + " ", []
+        for k, (label, priority, weight, _, pattern) in enumerate(RULES):
+            found += [(m.start(), m.end(), (priority, m[0].count(" "), -k), label, weight) for m in re.finditer(f"(?<= )(?:{pattern})(?= )", line, re.A)]
+        own = [x for x in found if not any(y[0] <= x[0] and y[1] >= x[1] and y[2] > x[2] for y in found)]
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted({x[3] for x in own})), max([0.0, *(x[4] for x in own)])), t
+    label = {t: got[i]["labels"] for i, t in enumerate(texts)}
+    for name, want in {"GPL2": "gpl-2.0", "GPLv2 only": "gpl-2.0", "GPL3": "gpl-3.0", "LGPL3": "lgpl-3.0", "AGPL3": "agpl-3.0", "MPL2": "mpl-2.0", "MPLv2.0": "mpl-2.0", "EPLv2.0": "epl-2.0", "CDDLv1.0": "cddl-1.0", "EUPLv1.2": "eupl-1.2", "OFLv1.1": "ofl-1.1"}.items():
+        assert label[f"It is under {name} now"] == want
+
+
 # -- pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
