@@ -1,14 +1,15 @@
 """Operator 3: toxicity, by a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 Each word enters as a learned vector of its hashed form and the mean of learned vectors of its hashed character sequences,
-beginnings and ends included. A forward and a backward gated recurrent layer read a window of ``WINDOW`` words, attention
-pools their states, and a logistic unit scores the window. Windows overlap by half and cover the whole text; a text's score is
-that of its highest window. Trained in numpy by back-propagation, on a bounded sample of labelled rows; windows are chosen
+beginnings and ends included; words beyond ``LONG`` characters enter as overlapping pieces. A forward and a backward gated
+recurrent layer read a window of ``WINDOW`` words, attention pools their states, and a logistic unit scores the window. Windows
+overlap by half and cover the whole text; a text's score is that of its highest window. Trained in numpy by back-propagation, on a bounded sample of labelled rows; windows are chosen
 anew before each round (of a toxic text the highest, of others the highest and a random one), as labels mark texts, not windows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +30,34 @@ THRESHOLD = 0.3
 #: Windows run through the network at once.
 BATCH = 4096
 KEPT = 150_000
+#: Characters of a word input at most, and of the pieces that longer ones are cut into: short, as words in them are to tell.
+LONG, PIECE = 40, 8
+#: Where words beyond that are cut first.
+SEPARATORS = re.compile(r"[/\\_,;:|.\-()\[\]{}<>\"=&?~‐-―…«»“”、。，；：？！・「」『』（）]+")
 STRIP = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”‘’…–—"
 
 
+def pieces(words: list[str]) -> list[str]:
+    """The words, those beyond ``LONG`` characters cut at separators, and what is still longer into pieces of ``PIECE`` characters
+    that overlap by half and cover it whole."""
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    out = []
+    for w in words:
+        if len(w) > LONG:
+            w = w.strip(STRIP) or w
+        for x in [w] if len(w) <= LONG else [x for x in SEPARATORS.split(w) if x] or [w]:
+            out += [x] if len(x) <= LONG else [x[min(i, len(x) - PIECE) :][:PIECE] for i in range(0, len(x) - PIECE // 2, PIECE // 2)]
+    return out
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word the row of its vector, and its character rows: flat, with their numbers. Surrounding marks are left off; of
-    a word beyond 40 characters, both ends count."""
-    cut = [f"<{w[:20] + w[-20:] if len(w) > 40 else w}>" for w in (w.strip(STRIP) or w for w in words)]
+    """For each word of at most ``LONG`` characters (without surrounding marks, which are left off; a word of marks alone keeps
+    them) the row of its vector, and its character rows: flat, with their numbers."""
+    cut = [f"<{w.strip(STRIP) or w}>" for w in words]
     n = np.fromiter(map(len, cut), np.int64, len(cut))
-    codes = np.array(cut, dtype="U42").view(np.uint32).reshape(len(cut), 42).astype(np.uint64)
-    codes *= np.arange(42) < n[:, None]
+    codes = np.array(cut, dtype=f"U{LONG + 2}").view(np.uint32).reshape(len(cut), LONG + 2).astype(np.uint64)
+    codes *= np.arange(LONG + 2) < n[:, None]
     width = int(n.max(initial=3))
     rows, owners = [], []
     for size in (3, 4):
@@ -81,7 +100,7 @@ class Words:
         self.names: list[str] = []
 
     def of(self, text: str | None) -> np.ndarray:
-        ws = (text or "").lower().split()
+        ws = pieces((text or "").lower().split())
         for w in {w for w in ws if w not in self.ids}:
             self.names.append(w)
             self.ids[w] = len(self.names)

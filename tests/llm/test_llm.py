@@ -140,6 +140,30 @@ def test_windows_overlap_and_cover():
         assert all(b[0] < a[1] for a, b in zip(ws, ws[1:])) and all(b - a <= toxicity.WINDOW for a, b in ws)
 
 
+def test_long_words_enter_whole():
+    for n in (1, 39, 40, 41, 45, 100, 1001):
+        w = "".join(chr(0x4E00 + k) for k in range(n))
+        got = toxicity.pieces(["a", w, "b"])
+        assert got[0] == "a" and got[-1] == "b" and all(len(x) <= toxicity.LONG for x in got)
+        assert all(any(w[k : k + 4] in x for x in got) for k in range(n))
+    assert toxicity.pieces(["x" * 40 + "/" + "y" * 20 + "_z"]) == ["x" * 40, "y" * 20, "z"]
+    assert "".join(toxicity.pieces(["-" * 50])) and toxicity.pieces([]) == []
+
+
+def test_toxic_wording_inside_long_words():
+    r = random.Random(3)
+    fine = ["".join(r.choice(["the", "an", "er", "on", "ti"]) for _ in range(r.randint(1, 3))) for _ in range(300)]
+    text = lambda y: [r.choice(fine) for _ in range(30)] + ["idiot", "scum", "idiot"] * y + [r.choice(fine) for _ in range(30)]
+    rows = [(text(i % 3 == 0), int(i % 3 == 0)) for i in range(300)]
+    net = toxicity.fit([" ".join(ws) for ws, _ in rows], [y for _, y in rows])
+    new = [(text(i % 2), i % 2) for i in range(40)]
+    y = np.array([y for _, y in new])
+    for mark in (" ", "/", "_", ",", "—"):
+        assert ((net.probability(net.score([mark.join(ws) for ws, _ in new])) >= toxicity.THRESHOLD) == y).sum() >= 39, mark
+    a, b = net.score(["的" * 500 + "idiotscum" + "的" * 500, "的" * 1009])
+    assert a > b
+
+
 def test_toxicity(spark, odd, empty):
     r = random.Random(2)
     fine = ["".join(r.choice(["the", "an", "er", "on", "ti"]) for _ in range(r.randint(1, 3))) for _ in range(300)]
