@@ -296,6 +296,23 @@ def test_odd_sketch_estimates_high_similarities():
         assert int(np.unpackbits(x.view(np.uint8)).sum()) <= near_dedup.most_bits(j - near_dedup.MARGIN)
 
 
+def test_sketch_filter_loses_next_to_no_pair():
+    from math import comb
+
+    n, k = 64 * near_dedup.SKETCH, near_dedup.BANDS * near_dedup.ROWS
+    odd = np.zeros((k + 1, n + 1))  # chances of each number of odd bits, after two flips for each sample that differs
+    row = np.zeros(n + 1)
+    row[0] = 1
+    at = np.arange(n + 1)
+    for d in range(k + 1):
+        odd[d] = row
+        for _ in range(2):
+            row = np.append(0, (row * (n - at) / n)[:-1]) + np.append((row * at / n)[1:], 0)
+    for j, most in ((0.85, 1e-11), (0.8, 1e-9)):
+        differ = np.array([comb(k, d) * (1 - j) ** d * j ** (k - d) for d in range(k + 1)])
+        assert (differ @ odd)[near_dedup.most_bits(j - near_dedup.MARGIN) + 1 :].sum() < most
+
+
 # -- 7
 def test_chat(spark):
     for marks in (("User: ", "Assistant: "), ("### Human\n", "### Assistant\n"), ("<|user|>\n", "<|assistant|>\n"), ("**User:** ", "**AI:** ")):
