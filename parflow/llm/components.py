@@ -27,8 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         after = materialise(small, "edges")
         now = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        delete(edges.sparkSession, edges)
-        delete(edges.sparkSession, large)
+        delete(edges, large)
         edges = after
         if now == state:
             break

@@ -4,7 +4,8 @@
    sample flips one bit of a bitmap, so the bits in which two bitmaps differ are an even-or-odd count of the samples in which
    the sets differ, and their number estimates the similarity, most precisely when it is high.
 2. Texts with one set are one class, named by its smallest doc_id; only classes go on. A group of any number of copies is one row.
-3. Classes that agree in all rows of a band meet in a bucket. First each bucket links its members to a centre (a star, one row
+3. Classes that agree in all rows of a band meet in a bucket; those alone in theirs are screened out before members are
+   shuffled, and so are texts that no pair needs. First each bucket links its members to a centre (a star, one row
    a member; centres differ between bands), pairs are dropped whose sketches put the similarity far below the threshold, and
    the rest are confirmed on the full sets.
 4. Where a bucket's members are not yet in one component, all its pairs across components are compared by sketch and size
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import delete, materialise, own_name, screen, slices
 from .components import components
 from .shingles import common, mix64, shingle_set
 
@@ -117,7 +118,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     block = lambda x: F.pmod(F.xxhash64(x), F.col("blocks"))
     cells = materialise(pairs.join(nodes, "c").select("c", block("a").alias("x"), block("b").alias("y"), "a", "b"), "cells")
     wanted = cells.select("c", "x", "y", F.col("a").alias("doc_id")).unionByName(cells.select("c", "x", "y", F.col("b").alias("doc_id"))).distinct()
-    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(wanted, "doc_id").select(F.col("c").alias("tc"), F.col("x").alias("tx"), F.col("y").alias("ty"), "doc_id", "text")
+    texts = screen(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), "doc_id", wanted.select("doc_id").distinct()).join(wanted, "doc_id").select(F.col("c").alias("tc"), F.col("x").alias("tx"), F.col("y").alias("ty"), "doc_id", "text")
 
     def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
         sets: dict[int, list[np.ndarray]] = {}
@@ -132,7 +133,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     found = cells.groupBy("c", "x", "y").cogroup(texts.groupBy("tc", "tx", "ty")).applyInArrow(run, "a long, b long")
-    return materialise(found, "links")
+    found = materialise(found, "confirmed")
+    delete(cells)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -149,35 +152,69 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # a doc_id with several texts ties its classes together
     ties = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
     ties = named.join(ties, "doc_id", "left_semi").join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
+    # most band keys have one member: they are screened out before members are shuffled
     slots = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    centre = lambda df: F.min(F.struct(F.xxhash64("rep", (F.col("band") % CENTRES)), "rep"))["rep"]  # noqa: E731, ARG005
-    centres = slots.groupBy("key", "band").agg(centre(slots).alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("key", "centre")
+    keys = materialise(slots.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key"), "keys")
+    slots = materialise(screen(slots, "key", keys).join(keys, "key", "left_semi"), "slots")
+    centre = F.min(F.struct(F.xxhash64("rep", F.col("band") % CENTRES), "rep"))["rep"]
+    centres = slots.groupBy("key", "band").agg(centre.alias("centre")).select("key", "centre")
     stars = slots.select("key", "rep").join(centres, "key").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     side = lambda x: classes.select(F.col("rep").alias(x), "n", "sketch").alias(f"c{x}")
-    stars = stars.join(side("a"), "a").join(side("b"), "b").filter(close(percent, "ca", "cb")).select("a", "b")
-    links = confirm(materialise(stars, "stars"), docs, percent).unionByName(ties)
+    stars = materialise(stars.join(side("a"), "a").join(side("b"), "b").filter(close(percent, "ca", "cb")).select("a", "b"), "stars")
+    links = materialise(confirm(stars, docs, percent).unionByName(ties), "links")
     found = materialise(components(links), "components")
 
     at = F.coalesce("component", "rep")
-    homes = slots.select("key", "rep").join(found, slots["rep"] == found["node"], "left").select("key", "rep", at.alias("home"))
+    homes = materialise(slots.select("key", "rep").join(found, slots["rep"] == found["node"], "left").select("key", "rep", at.alias("home")), "homes")
     open_keys = homes.groupBy("key").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x <> y").select("key")
     rest = homes.join(open_keys, "key", "left_semi").join(classes.select("rep", "n", "sketch"), "rep")
     rest = materialise(rest, "open")
     x, y = rest.alias("x"), rest.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.home") != F.col("y.home")) & close(percent, "x", "y"))
     pairs = materialise(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "pairs")
+    delete(keys, slots, stars, homes, rest)
     if not pairs.isEmpty():
-        links = links.unionByName(confirm(pairs, docs, percent))
-        found = materialise(components(links), "components")
+        more = materialise(links.unionByName(confirm(pairs, docs, percent)), "links")
+        delete(links, found)
+        links, found = more, materialise(components(more), "components")
+    delete(pairs, links)
     homes = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", at.alias("home"))
-    out = all_rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(homes, "set_key", "left")
+    # rows without a class get keys of their own, so that no task has all of them
+    own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("set_key")), F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.uuid())).cast("binary"))
+    out = all_rows.select("doc_id", "n_shingles", own.alias("set_key")).join(homes, "set_key", "left")
     component = F.coalesce("home", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: its smallest doc_id, one row of it; rows with a null doc_id stay."""
-    keep = near_duplicates(docs, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").select(*docs.columns)
-    once = rows.dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one document of each group: its smallest doc_id, one row of it (the one with the smallest text); rows with a
+    null doc_id stay.
+
+    Only rows that may have to go are shuffled: those of ids that do, and of ids with several rows.
+    """
+    groups = near_duplicates(docs, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    touched = materialise(groups.filter("not kept or rows > 1").select(F.col("doc_id").alias("touched"), "kept"), "touched")
+    pure = screen(docs, "doc_id", touched, inside=False)
+    maybe = screen(docs, "doc_id", touched)
+    names = [own_name(docs, x) for x in ("touched", "kept")]
+    rows = maybe.join(touched.toDF(*names), maybe["doc_id"].cast("long") == F.col(names[0]), "left")
+    untouched = rows.filter(F.col(names[0]).isNull()).select(*docs.columns)
+    row = F.struct(*(maybe[c] for c in docs.columns))
+    once = rows.filter(F.col(names[1])).groupBy(names[0]).agg(F.min_by(row, F.struct("text", F.xxhash64(*(maybe[c] for c in docs.columns)))).alias("row"))
+    once = once.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return pure.unionByName(untouched).unionByName(once)
+
+
+#: The query in DuckDB SQL: every pair of documents that share a shingle is compared on full sets, then links are followed.
+ORACLE = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from d),
+n as (select doc_id, len(s)::bigint as n from s),
+u as (select doc_id, unnest(s) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) as component_id, n.doc_id = least(n.doc_id, coalesce(min(r.b), n.doc_id)) as kept
+from n left join r on r.a = n.doc_id group by 1, 2
+"""

@@ -55,4 +55,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_token_counts, op3_toxicity, op4_html_text, op5_token_files, op6_near_duplicates, op7_chat_format, op8_media_columns, op9_decontamination, op10_license_scan)}
-ORACLES = {"op1_source_mixing": mixing.oracle(), "op7_chat_format": chat.ORACLE}
+ORACLES = {"op1_source_mixing": mixing.oracle(), "op6_near_duplicates": near_dedup.ORACLE, "op7_chat_format": chat.ORACLE}

@@ -285,6 +285,41 @@ def test_near_duplicates(spark, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_screen(spark):
+    from parflow.llm.common import screen
+
+    rows = spark.range(3000).selectExpr("id", "id as bits", "1 as bucket").unionByName(spark.sql("select cast(null as bigint) id, cast(1 as bigint) bits, 1 bucket"))
+    keys = spark.range(0, 3000, 7).selectExpr("id as k")
+    into, out = screen(rows, "id", keys), screen(rows, "id", keys, inside=False)
+    assert into.columns == rows.columns == out.columns
+    assert into.filter("id % 7 = 0").count() == 429 and out.filter("id % 7 = 0").count() == 0
+    assert into.count() + out.count() == 3001 and into.filter("id is null").count() == 0 and into.count() < 800
+    assert screen(rows, "id", keys.limit(0)).count() == 0 and screen(rows, "id", keys.limit(0), inside=False).count() == 3001
+
+
+def test_hot_bucket(spark):
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):  # a hot group: most texts have neighbours at the threshold, none is a copy
+        ws = list(base)
+        for _ in range(r.choice([1, 1, 2, 3])):
+            ws[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        rows.append((i + 1, " ".join(ws)))
+    rows += [(200 + i, " ".join(f"{i} {j}" for j in range(30))) for i in range(40)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute(rows, 85)
+
+
+def test_repeated_ids_stay_once(spark):
+    rows = [(1, "a text of words that is long enough", "x"), (1, "another text that has some other words", "y"), (1, "another text that has some other words", "z"), (2, "A text of words that is long enough", "v"), (None, "null", "n"), (3, "", "e"), (3, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    for _ in range(2):
+        got = near_dedup.deduplicated(docs.repartition(3))
+        assert got.columns == docs.columns
+        assert sorted((tuple(x) for x in got.collect()), key=repr) == sorted([rows[0], rows[4], rows[6]], key=repr)
+
+
 def test_odd_sketch_estimates_high_similarities():
     r = np.random.default_rng(0)
     for j in (0.8, 0.85, 0.95):
