@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from parflow.functions.scalars import STOP_WORDS, ascii_lower, byte_length, split, squared_distance
 from parflow.operators.dataset import Dataset
+from parflow.plans import barriers
+from parflow.plans.params import ParamServer, PeerSwarm, Store, subtract_vectors
+from parflow.plans.ring import ring_hash
 from parflow.sources.io import materialise
 
 
@@ -51,36 +55,138 @@ def descend(rows: DataFrame, xs: list[str], y: str, start: list[float], rate: fl
     return w
 
 
-def sgd(rows: DataFrame, xs: list[str], ys: list[str], model: np.ndarray, rate: float, steps: int, batch: int, seed: int, merge: str = "sum", workers: int | None = None) -> np.ndarray:
-    """Minibatch descent. Every step each worker draws ``batch`` rows by a seeded hash and computes the gradient of its columns
-    (all where ``workers`` is None); updates of one column add up, or with ``merge='last'`` the last wins."""
-    rows = rows.select(*xs, *ys).withColumn("__i", F.xxhash64(*xs, *ys)).persist()
+def drawn(share: float, seed: int, step: int, who: Column | str, row: Column | str) -> Column:
+    """Whether a step's batch has a row: by a digest of all four, so a rerun draws the same."""
+    key = F.concat_ws(":", F.lit(seed), F.lit(step), who, F.col(row) if isinstance(row, str) else row)
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") < F.lit(int((1 << 32) * min(1.0, share)))
+
+
+def sgd(rows: DataFrame, xs: list[str], ys: list[str], model: np.ndarray, rate: float, steps: int, batch: int, seed: int, row: str = "id") -> np.ndarray:
+    """Minibatch descent of all columns at once: every step is one aggregate over about ``batch`` rows, drawn by ``row``."""
+    rows = rows.select(row, *xs, *ys).persist()
     n = max(1, rows.count())
     m = np.array(model, float)
     for step in range(steps):
-        updates = []
-        for w in range(workers or 1):
-            draw = F.pmod(F.xxhash64("__i", F.lit(seed), F.lit(step), F.lit(w)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, batch / n))
-            columns = range(len(ys)) if workers is None else [(step + w) % len(ys)]
-            res = {k: sum((F.lit(float(m[j, k])) * F.col(x) for j, x in enumerate(xs)), F.lit(0.0)) - F.col(ys[k]) for k in columns}
-            got = rows.filter(draw).agg(*(F.coalesce(F.avg(2 * F.col(x) * res[k]), F.lit(0.0)) for k in columns for x in xs)).first()
-            g = np.array(list(got)).reshape(len(columns), len(xs))
-            updates += [(k, g[i]) for i, k in enumerate(columns)]
-        if merge == "last":
-            updates = list(dict(updates).items())
-        for k, g in updates:
-            m[:, k] -= rate * g
+        res = [sum((F.lit(float(m[j, k])) * F.col(x) for j, x in enumerate(xs)), F.lit(0.0)) - F.col(y) for k, y in enumerate(ys)]
+        got = rows.filter(drawn(batch / n, seed, step, F.lit("all"), row)).agg(*(F.coalesce(F.avg(2 * F.col(x) * r), F.lit(0.0)) for x in xs for r in res)).first()
+        m = m - rate * np.array(list(got)).reshape(m.shape)
     rows.unpersist()
     return m
 
 
+class _Classifiers:
+    """What the parameter server and the peers share in training the columns of a linear model, one key a column."""
+
+    def __init__(self, rows: DataFrame, xs: list[str], ys: list[str], model: np.ndarray, rate: float, batch: int, seed: int, row: str) -> None:
+        self.rows = rows.select(F.col(row).alias("row"), F.array(*xs).cast("array<double>").alias("x"), F.array(*ys).cast("array<double>").alias("y")).persist()
+        self.rate, self.seed, self.columns = rate, seed, len(ys)
+        self.share = batch / max(1, self.rows.count())
+        spark = rows.sparkSession
+        self.store = Store(spark.createDataFrame([(k, [float(v) for v in np.asarray(model, float)[:, k]], 0) for k in range(len(ys))], "k int, v array<double>, t long"))
+
+    def column(self, who: str, step: int) -> int:
+        """The column that a worker takes in a step, by a digest."""
+        return int(hashlib.md5(f"{self.seed}:{step}:{who}".encode()).hexdigest()[:8], 16) % self.columns
+
+    def batches(self, workers: list[str], step: int, name: str) -> DataFrame:
+        """(name, k, x, y): the rows that each worker draws, and its column. Workers are few; rows are read once for all."""
+        picks = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(self.column(w, step)).alias("k")) for w in workers)))
+        every = self.rows.select("row", "x", "y", picks.alias("pick"))
+        return every.filter(drawn(self.share, self.seed, step, F.col("pick.w"), "row")).select(F.col("pick.w").alias(name), F.col("pick.k").alias("k"), "x", F.element_at("y", F.col("pick.k") + 1).alias("y"))
+
+    def push(self, frame: pd.DataFrame) -> pd.DataFrame:
+        x, v = np.stack(frame["x"].to_numpy()), np.asarray(frame["v"].iloc[0], float)
+        g = 2 * x.T @ (x @ v - frame["y"].to_numpy()) / len(x)
+        return pd.DataFrame({"k": [frame["k"].iloc[0]], "v": [(self.rate * g).tolist()]})
+
+    def __getstate__(self) -> dict:
+        return {"rate": self.rate}  # all that tasks need
+
+    def result(self) -> np.ndarray:
+        self.rows.unpersist()
+        got = {r["k"]: r["v"] for r in self.store.df.collect()}
+        return np.array([got[k] for k in range(self.columns)]).T
+
+
+def sgd_param(rows: DataFrame, xs: list[str], ys: list[str], model: np.ndarray, rate: float, rounds: int, batch: int, seed: int, workers: int = 2, barrier: str = "bsp", row: str = "id", finishes: Callable[[str, int], bool] = lambda worker, n: True) -> np.ndarray:
+    """Descent on a parameter server: each admitted worker gets one column, draws a batch, and hands in rate times its gradient."""
+    c = _Classifiers(rows, xs, ys, model, rate, batch, seed, row)
+    ps = ParamServer(c.store, [f"w{i}" for i in range(workers)], barrier, finishes)
+    ps.register_schedule(lambda go, store: c.batches(go, ps.rounds, "worker").join(F.broadcast(store.select("k", "v")), "k"))
+    ps.register_push(c.push)
+    ps.register_pull(subtract_vectors)
+    ps.start(rounds)
+    return c.result()
+
+
+def sgd_peer(rows: DataFrame, xs: list[str], ys: list[str], model: np.ndarray, rate: float, rounds: int, batch: int, seed: int, peers: int = 2, last: bool = False, row: str = "id", acts: Callable[[str, int], bool] = lambda peer, n: True) -> np.ndarray:
+    """Descent among peers that wait for the slowest: updates of one column add up, or, with ``last``, the last one counts."""
+    c = _Classifiers(rows, xs, ys, model, rate, batch, seed, row)
+    swarm = PeerSwarm(c.store, {f"w{i}": ring_hash(i + 1) for i in range(peers)}, barriers.p2p_bsp, acts)
+    swarm.register_schedule(lambda s, go: c.batches(go, s.rounds, "peer"))
+    swarm.register_push(c.push)
+    swarm.register_pull(lambda updates, store: subtract_vectors(updates, store, last))
+    swarm.start(rounds)
+    return c.result()
+
+
+def forward(layers: list[np.ndarray], x: np.ndarray) -> list[np.ndarray]:
+    """What each layer of a network puts out: tanh inside, linear at the end. A layer's last row is its bias."""
+    out = [x]
+    for i, w in enumerate(layers):
+        z = out[-1] @ w[:-1] + w[-1]
+        out.append(np.tanh(z) if i + 1 < len(layers) else z)
+    return out
+
+
+def gradients(layers: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean squared error, by backpropagation."""
+    out = forward(layers, x)
+    d, g = 2 * (out[-1] - y) / len(x), []
+    for i in reversed(range(len(layers))):
+        g.append(np.vstack([out[i].T @ d, d.sum(0)]))
+        d = (d @ layers[i][:-1].T) * (1 - out[i] ** 2) if i else d
+    return g[::-1]
+
+
+def train_network(rows: DataFrame, xs: list[str], ys: list[str], hidden: list[int], rate: float, rounds: int, batch: int, seed: int = 0, workers: int = 2, barrier: str = "bsp", row: str = "id") -> list[np.ndarray]:
+    """A neural network trained on the parameter server, one key a layer: every worker gets all layers and a batch of its own, and
+    hands in rate times the gradient of each layer, averaged over the workers."""
+    sizes, r = [len(xs), *hidden, len(ys)], np.random.default_rng(seed)
+    shapes = [(a + 1, b) for a, b in zip(sizes, sizes[1:])]
+    data = rows.select(F.col(row).alias("row"), F.array(*xs).cast("array<double>").alias("x"), F.array(*ys).cast("array<double>").alias("y")).persist()
+    share = batch / max(1, data.count())
+    start = [(i, (r.normal(size=s) / np.sqrt(s[0])).ravel().tolist(), 0) for i, s in enumerate(shapes)]
+    ps = ParamServer(Store(rows.sparkSession.createDataFrame(start, "k int, v array<double>, t long")), [f"w{i}" for i in range(workers)], barrier)
+
+    def schedule(go: list[str], store: DataFrame) -> DataFrame:
+        every = data.select("row", "x", "y", F.explode(F.array(*map(F.lit, go))).alias("worker")).filter(drawn(share, seed, ps.rounds, F.col("worker"), "row"))
+        none = F.lit(None).cast("array<double>")
+        layers = store.select(F.explode(F.array(*map(F.lit, go))).alias("worker"), "k", "v", none.alias("x"), none.alias("y"))
+        return layers.unionByName(every.select("worker", F.lit(-1).alias("k"), none.alias("v"), "x", "y"))
+
+    def push(frame: pd.DataFrame) -> pd.DataFrame:
+        held, drawn_ = frame[frame.k >= 0].sort_values("k"), frame[frame.k < 0]
+        layers = [np.asarray(v, float).reshape(s) for v, s in zip(held.v, shapes)]
+        g = gradients(layers, np.stack(drawn_.x.to_numpy()), np.stack(drawn_.y.to_numpy())) if len(drawn_) else [np.zeros(s) for s in shapes]
+        return pd.DataFrame({"k": range(len(g)), "v": [(rate / workers * a).ravel().tolist() for a in g]})
+
+    ps.register_schedule(schedule)
+    ps.register_push(push)
+    ps.register_pull(subtract_vectors)
+    ps.start(rounds)
+    data.unpersist()
+    got = {x["k"]: x["v"] for x in ps.store.df.collect()}
+    return [np.array(got[i]).reshape(s) for i, s in enumerate(shapes)]
+
+
 def lda_counts(tokens: DataFrame, topic: Column) -> DataFrame:
     """Word-topic counts (w, topic, n) of tokens (w)."""
     return tokens.groupBy("w", topic.alias("topic")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def lda(docs: DataFrame, topics: int, sweeps: int, seed: int = 0, alpha: float = 50.0, beta: float = 0.1) -> tuple[DataFrame, list[float]]:
-    """Collapsed Gibbs sampling over documents (doc, words array<int>), counts of words in topics as of the last sweep.
+    """Collapsed Gibbs sampling over documents (doc, words array<string>), counts of words in topics as of the last sweep.
 
     Each sweep samples all documents in parallel on the word-topic table of the sweep before (words that a document holds are
     joined to it, not sent to all), then counts anew: stale by one sweep, as in any distributed sampler. Returns (doc, words,
@@ -95,8 +201,8 @@ def lda(docs: DataFrame, topics: int, sweeps: int, seed: int = 0, alpha: float =
             f["z"] = [np.random.default_rng([seed, int(d) & 0xFFFFFFFF]).integers(0, topics, len(w)).tolist() for d, w in zip(f["doc"], f["words"])]
             yield f
 
-    kind = "doc long, words array<int>, z array<int>"
-    state = materialise(words.select(F.col("doc").cast("long").alias("doc"), F.col("words").cast("array<int>").alias("words")).mapInPandas(begin, kind), "lda")
+    kind = "doc long, words array<string>, z array<int>"
+    state = materialise(words.select(F.col("doc").cast("long").alias("doc"), F.col("words").cast("array<string>").alias("words")).mapInPandas(begin, kind), "lda")
     curve = []
     for sweep in range(sweeps):
         tokens = state.select("doc", F.explode(F.arrays_zip("words", "z")).alias("x")).select("doc", F.col("x.words").alias("w"), F.col("x.z").alias("z"))

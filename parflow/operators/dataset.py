@@ -82,9 +82,13 @@ class Dataset:
     def map_batches(self, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType) -> Dataset:
         return Dataset(self.df.mapInPandas(lambda it: map(f, it), schema))
 
-    def sample(self, fraction: float, seed: int) -> Dataset:
-        """Each row with probability ``fraction``; the seed fixes the draw."""
-        return Dataset(self.df.sample(fraction, seed))
+    def sample(self, fraction: float, seed: int, key: str | list[str] | None = None) -> Dataset:
+        """Each row with probability ``fraction``; the seed fixes the draw. With a ``key`` a digest of it decides, so the draw
+        does not depend on how rows lie in partitions, and rows of one key are drawn together."""
+        if key is None:
+            return Dataset(self.df.sample(fraction, seed))
+        digest = F.md5(F.concat_ws(":", F.lit(seed), *([key] if isinstance(key, str) else key)).cast("binary"))
+        return Dataset(self.df.filter(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int((1 << 32) * fraction)))
 
     # -- partitions and sets
     def union(self, other: Dataset) -> Dataset:
@@ -115,9 +119,25 @@ class Dataset:
         keys = [key] if isinstance(key, str) else key
         if isinstance(f[0], Column):
             return Dataset(self.df.groupBy(*keys).agg(*f))
-        fn = f[0]
-        pairs = self.df.select(keys[0], "v")
-        return Dataset(self.df.sparkSession.createDataFrame(pairs.rdd.map(tuple).reduceByKey(fn), pairs.schema))
+        fn, k = f[0], keys[0]
+        pairs = self.df.select(k, "v")
+
+        def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """One row for each key that a task meets; handed on before they grow too many."""
+            held: dict = {}
+            for p in frames:
+                for x, v in zip(p[k], p["v"]):
+                    x = None if pd.isna(x) else x
+                    held[x] = fn(held[x], v) if x in held else v
+                if len(held) > 200_000:
+                    yield pd.DataFrame({k: list(held), "v": list(held.values())})
+                    held = {}
+            yield pd.DataFrame({k: list(held), "v": list(held.values())})
+
+        def merge(p: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({k: [p[k].iloc[0]], "v": [_fold(p["v"], fn)]})
+
+        return Dataset(pairs.mapInPandas(combine, pairs.schema).groupBy(k).applyInPandas(merge, pairs.schema))
 
     def group_by_key(self) -> Dataset:
         return Dataset(self.df.groupBy("k").agg(F.collect_list("v").alias("v")))

@@ -18,11 +18,13 @@ class Progress:
 
 
 def _next(step: int, ps: list[Progress]) -> int:
-    return step + 1 if sum(p.step == step for p in ps) == len(ps) else step
+    """The next step if all have finished this one. The books keep every step that a worker has finished, so one that is
+    further has finished this one too; else a rule that lets workers ahead would never move on."""
+    return step + 1 if sum(p.step >= step for p in ps) == len(ps) else step
 
 
 def bsp(step: int, ps: Iterable[Progress]) -> tuple[int, list[str]]:
-    """All finished at this step: the next step for all; else nobody goes."""
+    """All have finished this step: the next step for all; else nobody goes."""
     ps = list(ps)
     t = _next(step, ps)
     return (t, [p.worker for p in ps]) if t > step else (step, [])
@@ -64,16 +66,31 @@ def p2p_asp_local(blocked: bool) -> bool:
     return blocked
 
 
-def admitted(progress: DataFrame, rule: str, stale: int = 1) -> DataFrame:
-    """The same over rows (worker, step, busy), where the current step is the least: (worker, t) of those that may go.
+def admitted(progress: DataFrame, rule: str, step: int | DataFrame, stale: float = 1) -> DataFrame:
+    """The same over rows (worker, step, busy): (worker, t) of those that may go, t being the step after the rule.
 
-    The step is a one-row aggregate, broadcast; workers are not shuffled."""
-    least = progress.agg(F.min("step").alias("low"), F.max("step").alias("high"))
-    rows = progress.join(F.broadcast(least))
-    t = F.col("low") + 1
+    ``step`` is the server's current one, a number or a table of one row. How many have finished it is a one-row aggregate,
+    broadcast; workers are not shuffled.
+    """
+    now = progress.sparkSession.range(1).select(F.lit(step).cast("long").alias("now")) if isinstance(step, int) else step.toDF("now")
+    rows = progress.join(F.broadcast(now))
+    whole = rows.agg(F.first("now").alias("now"), F.count(F.when(F.col("step") >= F.col("now"), 1)).alias("done"), F.count(F.lit(1)).alias("all"))
+    t = F.when(F.col("done") == F.col("all"), F.col("now") + 1).otherwise(F.col("now"))
+    rows = progress.join(F.broadcast(whole.select("now", t.alias("t"))))
     if rule == "bsp":
-        return rows.select("worker", t.alias("t"))
-    ok = F.col("busy") == 0
-    if rule == "ssp":
-        ok = ok & (F.col("step") - t < stale)
-    return rows.filter(ok).select("worker", t.alias("t"))
+        ok = F.col("t") > F.col("now")
+    else:
+        ok = F.col("busy") == 0
+        if rule == "ssp":
+            ok = ok & (F.col("step") - F.col("t") < stale)
+    return rows.filter(ok).select("worker", "t")
+
+
+def p2p_admitted(peers: DataFrame, rule: str) -> DataFrame:
+    """Peers (peer, step, blocked) whose barrier lets them on: those that wait and see nobody behind (bsp), that wait (asp_local), all (asp)."""
+    if rule == "asp":
+        return peers.select("peer")
+    if rule == "asp_local":
+        return peers.filter("blocked").select("peer")
+    low = peers.agg(F.min("step").alias("low"))
+    return peers.filter("blocked").join(F.broadcast(low)).filter("step <= low").select("peer")

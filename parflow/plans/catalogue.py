@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parflow.algos import programs
-from parflow.functions.scalars import exact_sum, split
+from parflow.functions.scalars import exact_sum, nth, parse_float, split
 from parflow.operators.dataset import Dataset, apply
 from parflow.plans import barriers, params, ring
 
@@ -37,6 +38,11 @@ def map(t):  # noqa: A001
 
 @query("select o_orderkey, o_totalprice * 2 as doubled from orders")
 def map_partition(t):
+    return t("orders").map("o_orderkey", "o_totalprice").map_partition(lambda rows: [(k, v * 2) for k, v in rows], "o_orderkey long, doubled double")
+
+
+@query("select o_orderkey, o_totalprice * 2 as doubled from orders")
+def map_batches(t):
     return t("orders").map("o_orderkey", "o_totalprice").map_batches(lambda p: pd.DataFrame({"o_orderkey": p.o_orderkey, "doubled": p.o_totalprice * 2}), "o_orderkey long, doubled double")
 
 
@@ -100,34 +106,65 @@ def reduce_by_key_mean(t):
     return pairs.map("o_orderpriority", "round(s / n, 4) as mean_price")
 
 
+def _row(t, value, schema: str) -> DataFrame:
+    return t("region").df.sparkSession.createDataFrame([(value,)], schema)
+
+
 @query("select max(o_totalprice) as m from orders")
 def reduce(t):
-    return t("orders").df.agg(F.max("o_totalprice").alias("m"))
+    return _row(t, t("orders").map("o_totalprice").reduce(F.max("o_totalprice")), "m double")
+
+
+@query("select max(l_linenumber) as m from lineitem")
+def reduce_callable(t):
+    return _row(t, t("lineitem").map("l_linenumber").reduce(lambda a, b: max(a, b)), "m int")
 
 
 @query("select max(o_totalprice) as m from orders where o_totalprice < 0")
 def reduce_empty(t):
-    return t("orders").filter("o_totalprice < 0").df.agg(F.max("o_totalprice").alias("m"))
+    return _row(t, t("orders").filter("o_totalprice < 0").map("o_totalprice").reduce(F.max("o_totalprice")), "m double")
 
 
 @query("select greatest(cast(0 as double), coalesce(max(value), 0)) as m from events")
 def fold_max(t):
-    return t("events").df.agg(F.greatest(F.lit(0.0), F.coalesce(F.max("value"), F.lit(0.0))).alias("m"))
+    return _row(t, t("events").map("value").fold(lambda a, b: max(a, b), 0.0, F.max("value")), "m double")
 
 
 @query("select cast(1000 + coalesce(sum(l_linenumber), 0) as bigint) as s from lineitem")
 def fold_sum(t):
-    return t("lineitem").df.agg((F.lit(1000) + F.coalesce(F.sum("l_linenumber"), F.lit(0))).cast("long").alias("s"))
+    return _row(t, t("lineitem").map("l_linenumber").fold(lambda a, b: a + b, 1000), "s long")
 
 
 @query("select count(*) as n from lineitem where l_discount > 0.05")
 def count(t):
-    return t("lineitem").filter("l_discount > 0.05").df.agg(F.count(F.lit(1)).alias("n"))
+    return _row(t, t("lineitem").filter("l_discount > 0.05").count(), "n long")
 
 
 @query("select r_regionkey, r_name from region")
 def collect(t):
-    return t("region").map("r_regionkey", "r_name")
+    parts = t("region").map("r_regionkey", "r_name").collect()
+    return t("region").df.sparkSession.createDataFrame([tuple(r) for p in parts for r in p], "r_regionkey int, r_name string")
+
+
+@query("select o_orderpriority as k, max(o_custkey) as v from orders group by 1")
+def reduce_by_key_callable(t):
+    return t("orders").map("o_orderpriority as k", "o_custkey as v").reduce_by_key(lambda a, b: max(a, b))
+
+
+@query("select o_custkey as k, array_to_string(list_sort(list(o_orderkey)), ',') as vs from orders group by 1")
+def group_by_key(t):
+    return t("orders").map("o_custkey as k", "o_orderkey as v").group_by_key().map("k", "array_join(cast(array_sort(v) as array<string>), ',') as vs")
+
+
+@query("select o_custkey as k, o_orderkey as v from orders")
+def ungroup(t):
+    return t("orders").map("o_custkey as k", "o_orderkey as v").group_by_key().ungroup()
+
+
+@query("select k, coalesce(array_to_string(list_sort(list(a) filter (a is not null)), ','), '') as l, coalesce(array_to_string(list_sort(list(b) filter (b is not null)), ','), '') as r from (select o_custkey as k, o_orderkey as a, null as b from orders union all select c_custkey, null, c_custkey from customer) t group by k")
+def cogroup(t):
+    both = t("orders").map("o_custkey as k", "o_orderkey as v").cogroup(t("customer").map("c_custkey as k", "c_custkey as v"))
+    return both.map("k", "array_join(cast(array_sort(left) as array<string>), ',') as l", "array_join(cast(array_sort(right) as array<string>), ',') as r")
 
 
 @query("select k, array_to_string(list_sort(list(v)), ',') as vs from (select o_custkey as k, o_orderkey as v from orders union all select c_custkey, c_custkey from customer) t group by k")
@@ -143,8 +180,27 @@ def join_one_sided(t):
 
 @query("select s_suppkey, s_acctbal > (select cast(avg(cast(s_acctbal as decimal(18,2))) as double) from supplier) as above from supplier")
 def broadcast_value(t):
-    mean = t("supplier").df.agg((exact_sum("s_acctbal") / F.count(F.lit(1))).alias("m"))  # one row
-    return t("supplier").map("s_suppkey", "s_acctbal").df.join(F.broadcast(mean)).select("s_suppkey", (F.col("s_acctbal") > F.col("m")).alias("above"))
+    from parflow.context import Context
+
+    rows = t("supplier").map("s_suppkey", "s_acctbal")
+    context = Context(rows.df.sparkSession)
+    handle = context.handle(context.broadcast(rows.reduce(exact_sum("s_acctbal") / F.count(F.lit(1)))))
+    return rows.map(lambda r: (r[0], r[1] > handle.value), schema="s_suppkey long, above boolean")
+
+
+@query("select cast(avg(cast(s_acctbal as decimal(18,2))) as double) as mean from supplier")
+def get_value(t):
+    from parflow.context import Context
+
+    rows = t("supplier").map("s_acctbal")
+    context = Context(rows.df.sparkSession)
+    return _row(t, context.get_value(context.broadcast(rows.reduce(exact_sum("s_acctbal") / F.count(F.lit(1))))), "mean double")
+
+
+@query("select case when k < 3 then 'a' when k < 5 then 'b' else 'c' end as kind, k from (select n_nationkey % 7 as k from nation) t where k <> 6")
+def scalars(t):
+    rows = t("nation").map("n_nationkey % 7 as k", "array(cast(n_nationkey % 7 as string), 'x') as pair")
+    return rows.filter(parse_float(nth("pair", 0)) != 6.0).map("case when k < 3 then 'a' when k < 5 then 'b' else 'c' end as kind", "k")
 
 
 @query("select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey")
@@ -172,26 +228,151 @@ def param_keys(t):
 
 @query("select user_id as k, cast(10000 - sum(cast(value as decimal(18,2))) as double) as v, max(event_id) as t from events group by 1")
 def param_pull_merge(t):
-    return t("events").map("user_id as k", "value", "event_id").reduce_by_key((F.lit(10000) - F.sum(F.col("value").cast("decimal(18,2)"))).cast("double").alias("v"), F.max("event_id").alias("t"))
+    updates = t("events").map("user_id as k", "cast(value as decimal(18,2)) as v", "event_id as t").df
+    store = updates.select("k", F.lit(10000).cast("decimal(18,2)").alias("v"), F.lit(0).cast("long").alias("t")).distinct()
+    return params.subtract(updates, store).select("k", F.col("v").cast("double").alias("v"), "t")
+
+
+_store = "(select user_id as k, count(*)::double as v from events group by 1)"
+
+
+def _halving(t) -> tuple[params.Store, DataFrame]:
+    """A store with a value for each user; every step halves what it is asked for."""
+    rows = t("events").df.groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("v"), F.lit(0).cast("long").alias("t"))
+    return params.Store(rows)
+
+
+def _halve(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"k": frame["k"], "v": frame["v"] / 2})
+
+
+def _run(t, barrier: str, rounds: int, slow: int = 1) -> DataFrame:
+    """Four workers, each with the keys of its number; the first takes ``slow`` rounds over a task."""
+    ps = params.ParamServer(_halving(t), [f"w{i}" for i in range(4)], barrier, lambda w, n: w != "w0" or n % slow == 0)
+    ps.register_schedule(lambda go, store: store.select(F.concat(F.lit("w"), F.col("k") % 4).alias("worker"), "k", "v"))
+    ps.register_push(_halve)
+    ps.register_pull(params.subtract)
+    return ps.start(rounds).df
+
+
+@query(f"select k, v / 8 as v, 3::bigint as t from {_store}")
+def param_run(t):
+    return _run(t, "bsp", 3)
+
+
+@query(f"select k, v / power(2, n) as v, n::bigint as t from (select *, case when k % 4 = 0 then 2 else 2 end as n from {_store}) t")
+def param_run_bsp_slow(t):
+    return _run(t, "bsp", 6, 3)  # all wait for the slow worker, who hands in at rounds 3 and 6
+
+
+@query(f"select k, v / power(2, n) as v, n::bigint as t from (select *, case when k % 4 = 0 then 2 else 3 end as n from {_store}) t")
+def param_run_ssp_slow(t):
+    return _run(t, "ssp", 6, 3)  # the others are one step ahead, and no more
+
+
+@query(f"select k, v / power(2, n) as v, n::bigint as t from (select *, case when k % 4 = 0 then 2 else 6 end as n from {_store}) t")
+def param_run_asp_slow(t):
+    return _run(t, "asp", 6, 3)
+
+
+@query(f"select 4::bigint as workers, count(*) as n_keys, max(v) as top from {_store}")
+def param_introspection(t):
+    ps = params.ParamServer(_halving(t), [f"w{i}" for i in range(4)])
+    ps.set(-1, 1e9)
+    top = ps.store.df.filter("k >= 0").orderBy(F.desc("v"), "k").first()["k"]
+    return t("region").df.sparkSession.createDataFrame([(ps.worker_num(), ps.keys().filter("k >= 0").count(), ps.get(top)[0])], "workers long, n_keys long, top double")
+
+
+def _swarm(t, rounds: int, barrier=None, slow: int = 1) -> params.PeerSwarm:
+    nodes = ring.nodes_of(t("nation").df, "n_name", "n_nationkey")
+    names = sorted(nodes)
+    swarm = params.PeerSwarm(_halving(t), nodes, barrier, lambda p, n: p != names[0] or n % slow == 0)
+    swarm.register_schedule(lambda s, go: s.owners().select(F.col("owner").alias("peer"), "k"))
+    swarm.register_push(_halve)
+    swarm.register_pull(params.subtract)
+    swarm.start(rounds)
+    return swarm
+
+
+_owned = "n as (select n_name, (cast(n_nationkey as bigint) * 2654435761) % 1073741824 as h from nation), o as (select s.k, s.v, arg_min(n_name, (n.h - (s.k * 2654435761) % 1073741824 + 1073741824) % 1073741824) as owner from s cross join n group by 1, 2)"
+
+
+@query(f"with s as {_store} select k, v / 8 as v, 2::bigint as t from s")
+def peer_run(t):
+    return _swarm(t, 3, barriers.p2p_bsp).store.df
+
+
+@query(f"with s as {_store}, {_owned} select k, v / case when owner = (select min(n_name) from nation) then 4 else 4 end as v, 1::bigint as t from o")
+def peer_run_bsp_slow(t):
+    return _swarm(t, 5, barriers.p2p_bsp, 2).store.df  # released in rounds 2 and 4, when the slow peer has come; what was sent in round 5 waits
+
+
+@query(f"with s as {_store}, {_owned} select k, v / case when owner = (select min(n_name) from nation) then 4 else 32 end as v, case when owner = (select min(n_name) from nation) then 1 else 4 end::bigint as t from o")
+def peer_run_asp_slow(t):
+    return _swarm(t, 5, None, 2).store.df
+
+
+@query(f"with s as {_store} select k, case when k = 7 then 0.5 else v end as v, 0::bigint as t from s")
+def peer_set(t):
+    swarm = _swarm(t, 0)
+    swarm.set(7, 0.5, client=sorted(swarm.peers)[0])  # kept until the owner's barrier
+    assert swarm.get(7)[0] != 0.5
+    swarm.register_schedule(lambda s, go: None)
+    swarm.register_pull(lambda updates, store: params.last_write(updates, "t"))
+    return swarm.start(1).df
 
 
 def _progress(t) -> DataFrame:
     return t("events").df.groupBy(F.col("user_id").alias("worker")).agg(F.count(F.lit(1)).alias("step"), (F.max("event_id") % 2).alias("busy"))
 
 
-@query("with ws as (select user_id as worker, count(*) as step from events group by 1) select worker, (select min(step) from ws) + 1 as t from ws")
+_ws = "ws as (select user_id as worker, count(*) as step, max(event_id) % 2 as busy from events group by 1), at as (select unnest([(select min(step) from ws), (select min(step) from ws) + 1, (select max(step) from ws)]) as now, unnest(['low', 'next', 'high']) as at), f as (select at, now, now + case when (select count(*) from ws where step >= now) = (select count(*) from ws) then 1 else 0 end as t from at)"
+
+
+def _at_steps(t, rule: str, stale: int = 1) -> DataFrame:
+    """The rule at the step that all have finished, at the next, and at one that almost nobody has."""
+    ws, out = _progress(t), None
+    for at, now in (("low", F.min("step")), ("next", F.min("step") + 1), ("high", F.max("step"))):
+        one = barriers.admitted(ws, rule, ws.agg(now.alias("now")), stale).withColumn("at", F.lit(at))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"with {_ws} select at, worker, t from f cross join ws where t > now")
 def barrier_bsp(t):
-    return barriers.admitted(_progress(t), "bsp")
+    return _at_steps(t, "bsp")
 
 
-@query("with ws as (select user_id as worker, count(*) as step, max(event_id) % 2 as busy from events group by 1) select worker from ws where busy = 0 and step - ((select min(step) from ws) + 1) < 5")
+@query(f"with {_ws} select at, worker, t from f cross join ws where busy = 0 and step - t < 5")
 def barrier_ssp(t):
-    return barriers.admitted(_progress(t), "ssp", 5).select("worker")
+    return _at_steps(t, "ssp", 5)
 
 
-@query("select worker from (select user_id as worker, max(event_id) % 2 as busy from events group by 1) t where busy = 0")
+@query(f"with {_ws} select at, worker, t from f cross join ws where busy = 0")
 def barrier_asp(t):
-    return barriers.admitted(_progress(t), "asp").select("worker")
+    return _at_steps(t, "asp")
+
+
+_peers = "with p as (select user_id as peer, count(*) as step, max(event_id) % 2 = 0 as blocked from events group by 1) select peer from p where "
+
+
+def _peer_steps(t) -> DataFrame:
+    return t("events").df.groupBy(F.col("user_id").alias("peer")).agg(F.count(F.lit(1)).alias("step"), (F.max("event_id") % 2 == 0).alias("blocked"))
+
+
+@query(_peers + "blocked and not exists (select 1 from p q where q.step < p.step)")
+def barrier_p2p_bsp(t):
+    return barriers.p2p_admitted(_peer_steps(t), "bsp")
+
+
+@query(_peers + "true")
+def barrier_p2p_asp(t):
+    return barriers.p2p_admitted(_peer_steps(t), "asp")
+
+
+@query(_peers + "blocked")
+def barrier_p2p_asp_local(t):
+    return barriers.p2p_admitted(_peer_steps(t), "asp_local")
 
 
 _ring = "with n as (select n_name, (cast(n_nationkey as bigint) * 2654435761) % 1073741824 as h from nation), k as (select c_custkey, (c_custkey * 2654435761) % 1073741824 as h from customer) select c_custkey, {}(n_name, (n.h - k.h + 1073741824) % 1073741824) as owner from k cross join n group by 1"
@@ -232,53 +413,136 @@ def lda_counts(t):
     return programs.lda_counts(words, (F.octet_length("w") % 4).cast("long"))
 
 
-@query()
+_points = "d as (select l_orderkey || '-' || l_linenumber as id, l_quantity / 50.0 as x, l_discount as z, l_extendedprice / 100000.0 as y from lineitem), c as (select count(*) as n from lineitem)"
+
+
+def _lines(t) -> DataFrame:
+    return t("lineitem").map("concat_ws('-', l_orderkey, l_linenumber) as id", "l_quantity / 50.0D as x", "l_discount as z", "l_extendedprice / 100000.0D as y").df
+
+
+def _draw(share: str, seed: int, step: int, who: str) -> str:
+    return f"('0x' || substr(md5('{seed}:{step}:{who}:' || id), 1, 8))::bigint < floor(4294967296 * least(1.0::double, {share}::double / (select n from c)))"
+
+
+def _descent(steps: list[str]) -> str:
+    """SQL of descent from (0.1, 0.1): each step is given as what it takes off, over d and the model m before it."""
+    sql = f"with {_points}, m0 as (select 0.1::double as w0, 0.1::double as w1)"
+    for i, off in enumerate(steps):
+        sql += f", g{i} as ({off.format(m=f'm{i}')}), m{i + 1} as (select w0 - g0 as w0, w1 - g1 as w1 from m{i}, g{i})"
+    return sql + f" select i, round(case when i = 0 then w0 else w1 end, 6) as w from m{len(steps)}, (values (0), (1)) v(i)"
+
+
+def _gradient(step: int, who: str, seed: int, rate: str) -> str:
+    residual = "(w0 * x + w1 * z - y)"
+    return f"select {rate} * coalesce(avg(2 * x * {residual}), 0) as g0, {rate} * coalesce(avg(2 * z * {residual}), 0) as g1 from d, {{m}} where {_draw('1000', seed, step, who)}"
+
+
+def _two(step: int, how: str) -> str:
+    """Two workers' updates of one column, added up, or the greater one: of equal steps the greatest value is the last."""
+    each = " union all ".join(_gradient(step, f"w{i}", 7, "0.1") for i in range(2))
+    if how == "sum":
+        return f"select sum(g0) as g0, sum(g1) as g1 from ({each})"
+    return f"select g0, g1 from ({each}) order by g0 desc, g1 desc limit 1"
+
+
+def _model(t, m) -> DataFrame:
+    return t("region").df.sparkSession.createDataFrame([(j, float(m[j, 0])) for j in range(2)], "i int, w double").withColumn("w", F.round("w", 6))
+
+
+@query(_descent([_gradient(s, "all", 7, "0.1") for s in range(3)]))
 def sgd_minibatch(t):
-    rows = t("lineitem").map("l_quantity / 50.0D as x", "l_discount as z", "l_extendedprice / 100000.0D as y").df
-    m = programs.sgd(rows, ["x", "z"], ["y"], [[0.1], [0.1]], 0.1, 3, 1000, 7)
-    return rows.sparkSession.createDataFrame([(j, float(m[j, 0])) for j in range(2)], "i int, w double")
+    return _model(t, programs.sgd(_lines(t), ["x", "z"], ["y"], [[0.1], [0.1]], 0.1, 3, 1000, 7))
+
+
+@query(_descent([_two(s + 1, "sum") for s in range(3)]))
+def sgd_param(t):
+    return _model(t, programs.sgd_param(_lines(t), ["x", "z"], ["y"], [[0.1], [0.1]], 0.1, 3, 1000, 7))
+
 
+@query(_descent([_two(s + 1, "last") for s in range(3)]))
+def sgd_peer_last(t):
+    return _model(t, programs.sgd_peer(_lines(t), ["x", "z"], ["y"], [[0.1], [0.1]], 0.1, 3, 1000, 7, last=True))
 
-@query()
+
+@query(_descent([_two(s + 1, "sum") for s in range(3)]))
+def sgd_peer_sum(t):
+    return _model(t, programs.sgd_peer(_lines(t), ["x", "z"], ["y"], [[0.1], [0.1]], 0.1, 3, 1000, 7))
+
+
+@query("select true as better")
+def train_network(t):
+    rows = t("supplier").map("s_suppkey as id", "(s_suppkey % 20) / 10.0D - 1 as x", "power((s_suppkey % 20) / 10.0D - 1, 2) as y").df
+    loss = lambda layers: float(np.mean([(programs.forward(layers, np.array([[x]]))[-1][0, 0] - x * x) ** 2 for x in np.linspace(-1, 0.9, 20)]))
+    before, after = (programs.train_network(rows, ["x"], ["y"], [4], 0.1, n, 1000) for n in (0, 6))
+    return _row(t, loss(after) < loss(before), "better boolean")
+
+
+@query("select w, count(*) as n from (select unnest(regexp_split_to_array(text, '[ \t\n]')) as w from documents) t where strlen(w) > 0 group by 1")
 def lda_gibbs(t):
-    words = split(F.col("text"))
-    docs = t("documents").df.select(F.col("doc_id").alias("doc"), F.transform(F.filter(words, lambda w: F.octet_length(w) > 0), lambda w: F.pmod(F.xxhash64(w), F.lit(2000)).cast("int")).alias("words"))
-    state, _ = programs.lda(docs, 8, 1)
-    return state.select("doc", F.size("z").alias("n"))
+    """Eight topics, one sweep over the whole vocabulary; the topics' counts of a word add up to the word's."""
+    words = F.filter(split(F.col("text")), lambda w: F.octet_length(w) > 0)
+    state, _ = programs.lda(t("documents").df.select(F.col("doc_id").alias("doc"), words.alias("words")), 8, 1)
+    tokens = state.select(F.explode(F.arrays_zip("words", "z")).alias("x")).filter("x.z between 0 and 7").select(F.col("x.words").alias("w"), F.col("x.z").alias("z"))
+    return programs.lda_counts(tokens, F.col("z")).groupBy("w").agg(F.sum("n").alias("n"))
 
 
-@query()
+@query("select l_orderkey, l_linenumber from lineitem where ('0x' || substr(md5('11:' || l_orderkey || ':' || l_linenumber), 1, 8))::bigint < 429496729")
 def sample(t):
-    return t("lineitem").map("l_orderkey", "l_linenumber").sample(0.1, 11)
+    return t("lineitem").map("l_orderkey", "l_linenumber").sample(0.1, 11, ["l_orderkey", "l_linenumber"])
+
 
+@query("select true as near")
+def sample_rows(t):
+    rows = t("lineitem").map("l_orderkey", "l_linenumber")
+    n, all_ = rows.sample(0.1, 11).count(), rows.count()
+    return _row(t, abs(n - 0.1 * all_) < 5 * (0.09 * all_) ** 0.5, "near boolean")
 
-@query()
+
+@query("select count(*) as n from orders")
 def bounded_count(t):
-    d = t("orders")
-    return d.df.sparkSession.createDataFrame([(d.map("o_orderkey").bounded_count(60_000),)], "n long")
+    return _row(t, t("orders").map("o_orderkey").bounded_count(600_000), "n long")
 
 
-@query()
+@query("select count(*) as n, count(distinct n_name) as d from nation")
 def collect_nested(t):
-    d = t("nation").map("n_name")
-    return d.df.sparkSession.createDataFrame([(i, len(p)) for i, p in enumerate(d.collect())], "part int, n int")
+    parts = t("nation").map("n_name").collect()
+    names = [r[0] for p in parts for r in p]
+    return t("region").df.sparkSession.createDataFrame([(sum(len(p) for p in parts), len(set(names)))], "n long, d long")
 
 
-@query()
+@query("select true as some, true as me")
 def workers(t):
     from parflow.context import Context
 
-    spark = t("region").df.sparkSession
-    return spark.createDataFrame([(w,) for w in Context(spark).workers()], "worker string")
+    context = Context(t("region").df.sparkSession)
+    return context.spark.createDataFrame([(len(context.workers()) >= 1, bool(context.myself()))], "some boolean, me boolean")
 
 
-@query()
-def save_bytes(t):
+def _saved(t, scheme: str):
+    import uuid
+
     from parflow.sources import io
 
-    d = t("region")
+    d = t("region").map("r_regionkey", "r_name")
     spark = d.df.sparkSession
-    return spark.createDataFrame([(io.save(d, f"parquet://{io.shared_dir(spark)}/save_bytes"),)], "bytes long")
+    url = f"{scheme}://{io.shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    return spark, io.save(d, url), url
+
+
+@query("select r_regionkey, r_name, true as written from region")
+def save_bytes(t):
+    from parflow.sources import io
+
+    _, size, url = _saved(t, "parquet")
+    return io.load(t("region").df.sparkSession, url).df.withColumn("written", F.lit(size > 0))
+
+
+@query("select r_regionkey || ',' || r_name as value from region")
+def load(t):
+    from parflow.sources import io
+
+    spark, _, url = _saved(t, "text")
+    return io.load(spark, url)
 
 
 @query("select 48000000.0::double as s")

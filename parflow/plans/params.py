@@ -1,9 +1,12 @@
 """A versioned key-value model store, and the parameter server's and the peers' loops as Spark supersteps.
 
-The store is a DataFrame (k, v, t). Each superstep admits workers by the barrier, asks ``schedule`` for their tasks, runs
-``push`` over all of them in one job, lets ``pull`` merge the updates with the store, and upserts. Spark jobs are bulk
-synchronous, so ASP and SSP are valid schedules of the same rules, not their timing. The store is written to the shared folder
-every ``cut`` supersteps, so lineage stays short.
+The store is a DataFrame (k, v, t). Each round the barrier admits workers, ``schedule`` gives them tasks on the store as it then
+is, ``push`` runs over all tasks in one job, and what workers hand in goes through ``pull`` into the store. A worker may take
+several rounds over a task (``finishes``): its updates are kept, and it is busy, until it hands in. So one worker can really be
+ahead of another, as far as the barrier lets it. Rounds are sequential, so a run is one valid schedule, and it can be repeated.
+
+Tables that live from round to round are settled: written to the shared folder, or, if they have few rows, kept as rows of the
+plan. The plan of a round is therefore as long in round 10,000 as in the first.
 """
 
 from __future__ import annotations
@@ -11,26 +14,54 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parflow.sources.io import materialise
+from parflow.sources.io import discard, materialise
 
 from . import barriers
 from .ring import owner, ring_hash
 
 BARRIERS = {"bsp": barriers.bsp, "ssp": barriers.ssp, "asp": barriers.asp, "psp": lambda s, p: barriers.psp(s, p, sample=2)}
+#: A settled table with at most so many rows and bytes is kept as rows of the plan.
+FEW_ROWS, FEW_BYTES = 4096, 16_000_000
+
+
+class Table:
+    """A settled table. Its old files go as soon as it is settled anew."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df, self._own, self._small = df, False, True
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Make ``df``, which may read this table, its new content."""
+        old, owned = self.df, self._own
+        if self._small:
+            rows = df.limit(FEW_ROWS + 1).toArrow()
+            self._small = rows.num_rows <= FEW_ROWS and rows.nbytes <= FEW_BYTES
+        if self._small:
+            self.df, self._own = df.sparkSession.createDataFrame(rows.combine_chunks(), df.schema), False
+        else:
+            self.df, self._own = materialise(df, "store"), True
+        if owned:
+            discard(old)
+        return self.df
 
 
 class Store:
     """Last write wins, by order of arrival, whatever its step."""
 
-    def __init__(self, df: DataFrame, cut: int = 10) -> None:
-        self.df, self.cut, self._writes = df, cut, 0
+    def __init__(self, df: DataFrame) -> None:
+        self._table = Table(df)
+
+    @property
+    def df(self) -> DataFrame:
+        return self._table.df
 
     @classmethod
-    def empty(cls, spark: SparkSession, schema: str = "k long, v double, t long", cut: int = 10) -> Store:
-        return cls(spark.createDataFrame([], schema), cut)
+    def empty(cls, spark: SparkSession, schema: str = "k long, v double, t long") -> Store:
+        return cls(spark.createDataFrame([], schema))
 
     def get(self, k: Any) -> tuple[Any, int]:
         rows = self.df.filter(F.col("k") == k).take(1)
@@ -45,13 +76,12 @@ class Store:
         return self.df.select("k")
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> None:
-        """Replace or add rows (k, v, t); of several for one key the last by ``order`` counts."""
-        if order is not None:
-            rows = last_write(rows, order)
-        rows = rows.select("k", "v", "t")
-        out = self.df.join(rows.select("k"), "k", "left_anti").unionByName(rows)
-        self._writes += 1
-        self.df = materialise(out, "store") if self._writes % self.cut == 0 else out
+        """Replace or add rows (k, v, t). Of several for one key the last by ``order`` counts; without it the one of the latest
+        step, of equals the greatest value. The rows are evaluated once: both sides are one aggregate over their union."""
+        rows = last_write(rows, order) if order is not None else rows
+        sides = self.df.select("k", "v", "t", F.lit(0).alias("new")).unionByName(rows.select("k", "v", "t", F.lit(1).alias("new")))
+        newest = F.max_by(F.struct("v", "t"), F.struct("new", "t", "v"))
+        self._table.settle(sides.groupBy("k").agg(newest.alias("x")).select("k", "x.v", "x.t"))
 
 
 def last_write(rows: DataFrame, order: str) -> DataFrame:
@@ -71,13 +101,32 @@ def subtract_last(updates: DataFrame, store: DataFrame) -> DataFrame:
     return store.join(d, "k").select("k", (F.col("v") - F.col("d")).alias("v"), F.greatest("t", "t1").alias("t"))
 
 
+def subtract_vectors(updates: DataFrame, store: DataFrame, last: bool = False) -> DataFrame:
+    """:func:`subtract` and :func:`subtract_last` for arrays: element by element. A key's updates are summed by position."""
+    if last:
+        d = updates.groupBy("k").agg(F.max_by("v", F.struct("t", "v")).alias("d"), F.max("t").alias("t1"))
+    else:
+        parts = updates.select("k", "t", F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x"), F.max("t").alias("t1"))
+        d = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("d"), F.max("t1").alias("t1"))
+    return store.join(d, "k").select("k", F.zip_with("v", "d", lambda a, b: a - b).alias("v"), F.greatest("t", "t1").alias("t"))
+
+
+def _kind(store: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in store.schema if f.name != "t")
+
+
 class ParamServer:
-    """``schedule(workers, store) -> tasks (worker, k, v)``; ``push``: pandas frame of one worker's tasks -> frame (k, v);
-    ``pull(updates (k, v, t), store) -> rows (k, v, t)``; ``barrier(step, progress) -> (step, workers)``; ``stop(server) -> bool``."""
+    """``schedule(workers, store) -> tasks (worker, k, v, ...)``; ``push``: pandas frame of one worker's tasks -> frame (k, v);
+    ``pull(updates (k, v, t), store) -> rows (k, v, t)``; ``barrier(step, progress) -> (step, workers)``; ``stop(server) -> bool``.
 
-    def __init__(self, store: Store, workers: list[str], barrier: str | Callable = "bsp") -> None:
-        self.store, self.names, self.step = store, workers, 0
+    ``finishes(worker, round) -> bool`` says whether a busy worker hands in at the end of a round; by default it does.
+    """
+
+    def __init__(self, store: Store, workers: list[str], barrier: str | Callable = "bsp", finishes: Callable[[str, int], bool] = lambda worker, n: True) -> None:
+        self.store, self.names, self.step, self.rounds = store, workers, 0, 0
         self.progress = {w: 0 for w in workers}
+        self.busy = {w: False for w in workers}
+        self._finishes = finishes
         self.register_barrier(BARRIERS[barrier] if isinstance(barrier, str) else barrier)
         self.register_schedule(lambda workers, store: None)
         self.register_push(lambda frame: frame[["k", "v"]])
@@ -105,80 +154,147 @@ class ParamServer:
     def set(self, k: Any, v: Any) -> None:
         self.store.set(k, v, self.step)
 
-    def keys(self) -> list:
-        return [r["k"] for r in self.store.keys().collect()]
+    def keys(self) -> DataFrame:
+        return self.store.keys()
 
     def worker_num(self) -> int:
         return len(self.names)
 
-    def start(self, supersteps: int | None = None) -> Store:
-        n = 0
-        while not self._stop(self) and (supersteps is None or n < supersteps):
+    def start(self, rounds: int | None = None) -> Store:
+        spark, kind, n = self.store.df.sparkSession, _kind(self.store.df), 0
+        waiting = Table(spark.createDataFrame([], f"worker string, {kind}, t long"))
+        held = False
+        while not self._stop(self) and (rounds is None or n < rounds):
             n += 1
-            self.step, go = self._barrier(self.step, [barriers.Progress(w, s) for w, s in self.progress.items()])
-            tasks = self._schedule(go, self.store.df)
-            t = self.step
-            if tasks is not None:
-                push, kind = self._push, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.store.df.schema if f.name != "t")
-                updates = tasks.groupBy("worker").applyInPandas(lambda frame: push(frame), kind).withColumn("t", F.lit(t).cast("long"))
-                self.store.upsert(self._pull(updates, self.store.df))
-            for w in go:
-                self.progress[w] = t
+            self.rounds += 1
+            self.step, go = self._barrier(self.step, [barriers.Progress(w, s, self.busy[w]) for w, s in self.progress.items()])
+            go = [w for w in go if not self.busy[w]]
+            tasks = self._schedule(go, self.store.df) if go else None
+            self.busy.update(dict.fromkeys(go, True))
+            done = [w for w in self.names if self.busy[w] and self._finishes(w, self.rounds)]
+            updates = self._updates(tasks, go, kind) if tasks is not None else None
+            if held or updates is not None and set(go) - set(done):
+                table = waiting.df if updates is None else waiting.df.unionByName(updates)
+                updates = waiting.settle(table)
+                held = set(done) != {w for w in self.names if self.busy[w]}
+            if updates is not None and done:
+                of = updates.filter(F.col("worker").isin(done)).select("k", "v", "t")
+                self.store.upsert(self._pull(of, self.store.df))
+                if held:
+                    waiting.settle(waiting.df.filter(~F.col("worker").isin(done)))
+                else:
+                    waiting = Table(spark.createDataFrame([], f"worker string, {kind}, t long"))
+            for w in done:
+                self.progress[w] += 1
+                self.busy[w] = False
         return self.store
 
+    def _updates(self, tasks: DataFrame, go: list[str], kind: str) -> DataFrame:
+        """(worker, k, v, t), t being the step that the worker is on its way to."""
+        push, to = self._push, {w: self.progress[w] + 1 for w in go}
+
+        def run(key, frame):
+            out = push(frame)
+            out.insert(0, "worker", key[0])
+            out["t"] = to[key[0]]
+            return out
+
+        return tasks.filter(F.col("worker").isin(go)).groupBy("worker").applyInPandas(run, f"worker string, {kind}, t long")
+
 
 class PeerSwarm:
-    """Every peer holds the keys nearest to it on the ring and works on a snapshot: writes of a superstep show after its barrier.
+    """Every peer is a client and a server that holds the keys nearest to it on the ring.
+
+    In a round, each client that acts and does not wait at its barrier fetches keys, computes, sends its updates to the owners of
+    their keys, and waits; its server is then a step further, and all peers hear of it. Owners keep updates until their own barrier lets them
+    in; then they go through ``pull`` into the store and the owner's client goes on. Nothing is lost where a barrier refuses.
 
-    ``schedule(swarm) -> keys (peer, k)``; ``push``: frame (peer, k, v, t) of one peer -> frame (k, v); ``pull(updates, store) ->
-    rows (k, v, t)``; ``barrier(own, others, blocked) -> bool``; ``stop(swarm)``.
+    ``schedule(swarm, peers) -> keys (peer, k, ...)``; ``push``: frame (peer, k, v, t, ...) of one peer -> frame (k, v);
+    ``pull(updates (k, v, t), store) -> rows (k, v, t)``; ``barrier(own, others, blocked) -> bool``, by default always true;
+    ``stop(swarm)``. ``acts(peer, round) -> bool``: which clients act; by default all.
     """
 
-    def __init__(self, store: Store, peers: dict[str, int], barrier: Callable | None = None) -> None:
-        self.store, self.peers, self.step = store, peers, 0
+    def __init__(self, store: Store, peers: dict[str, int], barrier: Callable | None = None, acts: Callable[[str, int], bool] = lambda peer, n: True) -> None:
+        self.store, self.peers, self.rounds = store, dict(peers), 0
         self.steps = {p: 0 for p in peers}
+        self.blocked = {p: False for p in peers}
+        self._acts = acts
+        self._buffer = Table(store.df.limit(0))
+        self._buffered = False
         self.register_barrier(barrier or (lambda own, others, blocked: True))
-        self.register_schedule(lambda swarm: None)
+        self.register_schedule(lambda swarm, peers: None)
         self.register_push(lambda frame: frame[["k", "v"]])
         self.register_pull(lambda updates, store: last_write(updates, "t"))
         self.register_stop(lambda swarm: False)
 
     register_barrier, register_schedule, register_push, register_pull, register_stop = (ParamServer.register_barrier, ParamServer.register_schedule, ParamServer.register_push, ParamServer.register_pull, ParamServer.register_stop)
 
-    def owners(self) -> DataFrame:
-        return self.store.df.withColumn("owner", owner(ring_hash(F.col("k")), self.peers))
+    @property
+    def step(self) -> int:
+        return max(self.steps.values(), default=0)
+
+    def owners(self, df: DataFrame | None = None) -> DataFrame:
+        """Rows with a key, and the peer that owns it."""
+        return (self.store.df if df is None else df).withColumn("owner", owner(ring_hash(F.col("k")), self.peers))
 
     def get(self, k: Any) -> tuple[Any, int]:
         return self.store.get(k)
 
-    def set(self, k: Any, v: Any) -> None:
-        """A server's own write, at once."""
-        self.store.set(k, v, self.step)
+    def set(self, k: Any, v: Any, client: str | None = None) -> None:
+        """A server's own write shows at once; a client's is stamped with its server's step and waits for the owner's barrier."""
+        if client is None:
+            self.store.set(k, v, self.step)
+        else:
+            self._keep(self.store.df.sparkSession.createDataFrame([(k, v, self.steps[client])], self.store.df.schema))
+
+    def _keep(self, rows: DataFrame) -> None:
+        self._buffer.settle(self._buffer.df.unionByName(rows.select("k", "v", "t")))
+        self._buffered = True
 
     def swarm_size(self) -> int:
         return len(self.peers)
 
+    @staticmethod
+    def is_server() -> bool:
+        """The driver serves; tasks are clients."""
+        return TaskContext.get() is None
+
     def join(self, name: str, h: int) -> None:
         """A new peer takes the keys nearest to it: owners are computed from the ring, so nothing is copied."""
-        self.peers[name], self.steps[name] = h, self.step
+        self.peers[name], self.steps[name], self.blocked[name] = h, self.step, False
 
-    def start(self, supersteps: int | None = None) -> Store:
+    def start(self, rounds: int | None = None) -> Store:
         n = 0
-        while not self._stop(self) and (supersteps is None or n < supersteps):
+        while not self._stop(self) and (rounds is None or n < rounds):
             n += 1
-            wanted = self._schedule(self)
-            self.step += 1
-            self.steps = {p: self.step for p in self.peers}
+            self.rounds += 1
+            go = [p for p in self.peers if not self.blocked[p] and self._acts(p, self.rounds)]
+            wanted = self._schedule(self, go) if go else None
             if wanted is not None:
-                kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.store.df.schema if f.name != "t")
-                push, t = self._push, self.step
-                updates = wanted.join(self.store.df, "k").groupBy("peer").applyInPandas(lambda frame: push(frame), kind).withColumn("t", F.lit(t).cast("long"))
-                if all(self._barrier(s, [x for q, x in self.steps.items() if q != p], True) for p, s in self.steps.items()):
-                    self.store.upsert(self._pull(updates, self.store.df))
+                self._keep(self._updates(wanted, go))
+            for p in go:
+                self.steps[p] += 1
+                self.blocked[p] = True
+            past = [p for p, s in self.steps.items() if self._barrier(s, [x for q, x in self.steps.items() if q != p], self.blocked[p])]
+            if past and self._buffered:
+                self._deliver(past)
+            self.blocked.update(dict.fromkeys(past, False))
         return self.store
 
+    def _updates(self, wanted: DataFrame, go: list[str]) -> DataFrame:
+        push, at = self._push, {p: self.steps[p] for p in go}
+
+        def run(key, frame):
+            out = push(frame)
+            out["t"] = at[key[0]]
+            return out
+
+        return wanted.filter(F.col("peer").isin(go)).join(self.store.df, "k").groupBy("peer").applyInPandas(run, f"{_kind(self.store.df)}, t long")
 
-def upsert_by_rank(rows: DataFrame, order: str) -> DataFrame:
-    """As :func:`last_write`, keeping other columns: the row of each key with the greatest ``order``."""
-    w = Window.partitionBy("k").orderBy(F.col(order).desc())
-    return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    def _deliver(self, past: list[str]) -> None:
+        every = len(past) == len(self.peers)
+        rows = self._buffer.df if every else self.owners(self._buffer.df).filter(F.col("owner").isin(past)).drop("owner")
+        self.store.upsert(self._pull(rows, self.store.df))
+        left = self._buffer.df.limit(0) if every else self.owners(self._buffer.df).filter(~F.col("owner").isin(past)).drop("owner")
+        self._buffer.settle(left)
+        self._buffered = not every

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = 1 << 30
 FACTOR = 2654435761
-#: Nodes whose table may be written into a plan; a swarm is far smaller.
+#: Most nodes of a swarm, and nodes whose table is written into a plan.
 MOST_NODES = 100_000
+PLAN_NODES = 1024
 
 
 def ring_hash(key: Column | int):
@@ -31,14 +34,26 @@ def furthest(key: int, nodes: dict[str, int], exclude: tuple[str, ...] = ()) ->
 
 
 def owner(h: Column, nodes: dict[str, int], far: bool = False) -> Column:
-    """The nearest (furthest) node of a hash, within the scan: no join. Nodes are members of a swarm, their number is checked."""
+    """The nearest (furthest) node of a hash, within the scan: no join. The node is found by bisection of the sorted ring, written
+    into the plan if it has at most ``PLAN_NODES`` nodes, else sent to an Arrow function. Nodes are members of a swarm, their
+    number is checked."""
     if len(nodes) > MOST_NODES:
-        raise ValueError("too many nodes for one plan")
+        raise ValueError("too many nodes for one swarm")
     ring = sorted((v, k) for k, v in nodes.items())
-    hashes, names = F.array(*(F.lit(v) for v, _ in ring)), F.array(*(F.lit(k) for _, k in ring))
-    # nearest: the first node at or after the hash, else the ring's first; furthest: the node before that
-    at = F.size(F.filter(hashes, lambda x: x < h))
     n = len(ring)
+    # nearest: the first node at or after the hash, else the ring's first; furthest: the node before that
+    if n > PLAN_NODES:
+        hashes, names = np.array([v for v, _ in ring]), np.array([k for _, k in ring], object)
+
+        @F.pandas_udf("string")
+        def find(x: pd.Series) -> pd.Series:
+            return pd.Series(names[(np.searchsorted(hashes, x.to_numpy(), "left") - far) % n])
+
+        return find(h)
+    hashes, names = F.array(*(F.lit(v) for v, _ in ring)), F.array(*(F.lit(k) for _, k in ring))
+    halves = F.array(*(F.lit(1 << b) for b in reversed(range(n.bit_length()))))
+    smaller = lambda at: F.coalesce(F.get(hashes, at - 1) < h, F.lit(False))
+    at = F.aggregate(halves, F.lit(0), lambda lo, half: F.when(smaller(lo + half), lo + half).otherwise(lo))
     return F.element_at(names, (F.pmod(at - F.lit(1 if far else 0), F.lit(n)) + 1).cast("int"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,9 +47,11 @@ def save(ds: Dataset, url: str) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` of the session. Only in local mode may it be unset: then it is a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="parflow-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -59,3 +62,11 @@ def materialise(df: DataFrame, tag: str = "table") -> DataFrame:
     at = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table made by :func:`materialise`."""
+    spark = df.sparkSession
+    for at in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

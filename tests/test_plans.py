@@ -15,20 +15,38 @@ from parflow.streaming.pushes import push_stream
 def test_barriers():
     p = [Progress("a", 0), Progress("b", 0)]
     assert barriers.bsp(0, p) == (1, ["a", "b"])
-    p = [Progress("a", 1), Progress("b", 0, True)]
-    assert barriers.bsp(0, p) == (0, [])
-    assert barriers.ssp(0, p, 1) == (0, [])
-    assert barriers.ssp(0, p, 2) == (0, ["a"])
-    assert barriers.asp(0, p) == (0, ["a"])
+    p = [Progress("a", 2), Progress("b", 0, True)]
+    assert barriers.bsp(1, p) == (1, [])
+    assert barriers.ssp(1, p, 1) == (1, [])
+    assert barriers.ssp(1, p, 2) == (1, ["a"])
+    assert barriers.asp(1, p) == (1, ["a"])
     assert barriers.p2p_bsp(2, [2, 3], True) and not barriers.p2p_bsp(2, [1], True) and not barriers.p2p_bsp(2, [2], False)
     assert set(barriers.psp(0, p, 2, 1)[1]) <= {"a"}
 
 
+def test_ahead_workers_do_not_stop_the_others():
+    p = [Progress("a", 2), Progress("b", 1)]
+    assert barriers.ssp(1, p) == (2, ["a", "b"]) and barriers.bsp(2, p) == (2, [])
+
+
+def test_barriers_as_tables(spark):
+    rows = spark.createDataFrame([("a", 1, 0), ("b", 3, 1), ("c", 2, 0)], "worker string, step long, busy int")
+    ps = [Progress(r["worker"], r["step"], bool(r["busy"])) for r in rows.collect()]
+    for step in range(5):
+        for rule, f in (("bsp", barriers.bsp), ("ssp", barriers.ssp), ("asp", barriers.asp)):
+            t, go = f(step, ps)
+            assert sorted(map(tuple, barriers.admitted(rows, rule, step).collect())) == [(w, t) for w in sorted(go)]
+    assert barriers.admitted(rows.limit(0), "bsp", 1).count() == 0
+    peers = spark.createDataFrame([("a", 1, True), ("b", 1, False), ("c", 2, True)], "peer string, step long, blocked boolean")
+    names = lambda rule: sorted(r[0] for r in barriers.p2p_admitted(peers, rule).collect())
+    assert (names("bsp"), names("asp"), names("asp_local")) == (["a"], ["a", "b", "c"], ["a", "c"])
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 5), st.booleans()), min_size=1, max_size=8), st.integers(0, 5), st.integers(1, 4))
 def test_ssp_against_its_rule(rows, step, stale):
     ps = [Progress(str(i), s, b) for i, (s, b) in enumerate(rows)]
-    t = step + 1 if all(s == step for s, _ in rows) else step
+    t = step + 1 if all(s >= step for s, _ in rows) else step
     assert barriers.ssp(step, ps, stale) == (t, [str(i) for i, (s, b) in enumerate(rows) if not b and s - t < stale])
 
 
@@ -40,6 +58,9 @@ def test_ring(spark):
         h = ring.ring_hash(r["id"])
         assert (r["near"], r["far"]) == (ring.nearest(h, nodes), ring.furthest(h, nodes))
     assert ring.nearest(5, {"a": 5}, ("a",)) == ""
+    many = {f"n{i}": ring.ring_hash(i * 7919 + 3) for i in range(ring.PLAN_NODES + 9)}
+    for r in df.select("h", ring.owner(F.col("h"), many).alias("near"), ring.owner(F.col("h"), many, True).alias("far")).limit(40).collect():
+        assert (r["near"], r["far"]) == (ring.nearest(r["h"], many), ring.furthest(r["h"], many))
 
 
 def test_store(spark):
@@ -52,6 +73,17 @@ def test_store(spark):
     rows = spark.createDataFrame([(1, 9.0, 1, 0), (1, 8.0, 0, 1)], "k long, v double, t long, o long")
     s.upsert(rows, "o")
     assert s.get(1)[0] == 8.0
+    s.upsert(rows)
+    assert s.keys().count() == 1  # keys stay unique, whatever comes in
+
+
+def test_store_beyond_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(params, "FEW_ROWS", 10)
+    s = params.Store(spark.range(30).selectExpr("id as k", "1.0D as v", "0L as t"))
+    for i in range(3):
+        s.upsert(s.df.select("k", (F.col("v") * 2).alias("v"), (F.col("t") + 1).alias("t")))
+        assert len(s.df._jdf.queryExecution().analyzed().toString().splitlines()) < 4
+    assert {tuple(r)[1:] for r in s.df.collect()} == {(8.0, 3)} and s.df.count() == 30
 
 
 @pytest.mark.parametrize("barrier", ["bsp", "ssp", "asp"])
@@ -63,19 +95,51 @@ def test_param_server(spark, barrier):
     ps.register_stop(lambda s: s.step >= 2)
     ps.start(5)
     assert {r["k"]: r["v"] for r in ps.store.df.collect()} == {k: 8.0 for k in range(4)}
-    assert ps.worker_num() == 2 and sorted(ps.keys()) == [0, 1, 2, 3]
+    assert ps.worker_num() == 2 and sorted(r["k"] for r in ps.keys().collect()) == [0, 1, 2, 3]
+
+
+def test_plan_stays_short(spark):
+    ps = params.ParamServer(params.Store(spark.createDataFrame([(k, 1024.0, 0) for k in range(4)], "k long, v double, t long")), ["a", "b"], "ssp", lambda w, n: w == "a" or n % 2 == 0)
+    lengths, lead = [], []
+    ps.register_schedule(lambda go, store: store.select(F.when(F.col("k") % 2 == 0, "a").otherwise("b").alias("worker"), "k", "v"))
+    ps.register_push(lambda f: pd.DataFrame({"k": f.k, "v": 1.0}))
+    ps.register_pull(params.subtract)
+
+    def stop(server):
+        lengths.append(len(server.store.df._jdf.queryExecution().analyzed().toString().splitlines()))
+        lead.append(server.progress["a"] - server.progress["b"])
+        return False
+
+    ps.register_stop(stop)
+    ps.start(12)
+    assert max(lengths) <= 3 and max(lead) == 2  # ahead by as much as the rule allows: one step past the one that is awaited
+    assert {r["k"]: r["v"] for r in ps.store.df.collect()} == {k: 1024.0 - ps.progress["ab"[k % 2]] for k in range(4)}
 
 
 def test_peers_see_a_snapshot(spark):
     nodes = {"p": ring.ring_hash(1), "q": ring.ring_hash(2)}
     sw = params.PeerSwarm(params.Store(spark.createDataFrame([(k, 1.0, 0) for k in range(3)], "k long, v double, t long")), nodes)
-    sw.register_schedule(lambda s: s.owners().select(F.col("owner").alias("peer"), "k"))
+    sw.register_schedule(lambda s, go: s.owners().select(F.col("owner").alias("peer"), "k"))
     sw.register_push(lambda f: pd.DataFrame({"k": f.k, "v": f.v}))
     sw.register_pull(params.subtract)
     sw.start(1)
     assert [r["v"] for r in sw.store.df.collect()] == [0.0] * 3
     sw.set(7, 2.0)
-    assert sw.get(7) == (2.0, 1) and sw.swarm_size() == 2
+    assert sw.get(7) == (2.0, 1) and sw.swarm_size() == 2 and sw.is_server()
+    sw.join("r", ring.ring_hash(7))
+    assert {r["k"]: r["owner"] for r in sw.owners().collect()}[7] == "r"
+
+
+def test_updates_wait_for_the_barrier(spark):
+    nodes = {"p": ring.ring_hash(1), "q": ring.ring_hash(2)}
+    sw = params.PeerSwarm(params.Store(spark.createDataFrame([(k, 8.0, 0) for k in (1, 2)], "k long, v double, t long")), nodes, barriers.p2p_bsp, lambda p, n: p == "p" or n == 3)
+    sw.register_schedule(lambda s, go: s.owners().select(F.col("owner").alias("peer"), "k"))
+    sw.register_push(lambda f: pd.DataFrame({"k": f.k, "v": 1.0}))
+    sw.register_pull(params.subtract)
+    sw.start(2)
+    assert sw.steps == {"p": 1, "q": 0} and sw.get(1)[0] == 8.0  # kept, not lost
+    sw.start(1)
+    assert sw.steps == {"p": 1, "q": 1} and (sw.get(1)[0], sw.get(2)[0]) == (7.0, 7.0)
 
 
 def test_merges(spark):
@@ -104,13 +168,40 @@ def test_gradient_descent(spark):
     w = programs.descend(rows, ["a", "b", "c"], "p", [0.1] * 3, 0.5, 30)
     assert np.abs(x @ np.array(w) - y[:, 0]).mean() < 0.1
     start = np.full((3, 2), 0.1)
-    m = programs.sgd(rows, ["a", "b", "c"], ["p", "q"], start, 0.3, 12, 50, 1)
-    assert ((x @ m - y) ** 2).mean() < ((x @ start - y) ** 2).mean()
-    assert programs.sgd(rows, ["a", "b", "c"], ["p", "q"], start, 0.3, 2, 50, 1, "last", 2).shape == (3, 2)
+    rows = rows.withColumn("id", F.monotonically_increasing_id())
+    loss = lambda m: ((x @ m - y) ** 2).mean()
+    assert loss(programs.sgd(rows, ["a", "b", "c"], ["p", "q"], start, 0.3, 12, 50, 1)) < loss(start)
+
+
+def test_descent_on_the_engines(spark):
+    r = np.random.default_rng(0)
+    x = r.random((400, 3))
+    y = x @ np.array([[0.3, 0.5], [0.7, 0.4], [0.9, 0.2]])
+    rows = spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(x, y))], "id long, a double, b double, c double, p double, q double").coalesce(2)
+    start = np.full((3, 2), 0.1)
+    loss = lambda m: ((x @ m - y) ** 2).mean()
+    assert loss(programs.sgd_param(rows, ["a", "b", "c"], ["p", "q"], start, 0.2, 60, 10, 1, workers=4)) < 0.1 * loss(start)
+    assert loss(programs.sgd_param(rows, ["a", "b", "c"], ["p", "q"], start, 0.2, 12, 10, 1, workers=4, barrier="ssp", finishes=lambda w, n: w != "w0" or n % 3 == 0)) < 0.7 * loss(start)
+    for last in (False, True):
+        assert loss(programs.sgd_peer(rows, ["a", "b", "c"], ["p", "q"], start, 0.2, 12, 10, 1, 3, last)) < 0.7 * loss(start)
+
+
+def test_network_gradients():
+    r = np.random.default_rng(3)
+    layers, x, y = [r.normal(size=(4, 5)), r.normal(size=(6, 2))], r.normal(size=(7, 3)), r.normal(size=(7, 2))
+    loss = lambda: ((programs.forward(layers, x)[-1] - y) ** 2).sum() / len(x)
+    for layer, g in zip(layers, programs.gradients(layers, x, y)):
+        for at in np.ndindex(layer.shape):
+            layer[at] += 1e-6
+            up = loss()
+            layer[at] -= 2e-6
+            down = loss()
+            layer[at] += 1e-6
+            assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
 def test_lda(spark):
-    docs = spark.createDataFrame([(d, [(d % 2) * 5 + int(w) for w in np.random.default_rng(d).integers(0, 5, 20)]) for d in range(10)], "doc long, words array<int>")
+    docs = spark.createDataFrame([(d, [str((d % 2) * 5 + int(w)) for w in np.random.default_rng(d).integers(0, 5, 20)]) for d in range(10)], "doc long, words array<string>")
     state, curve = programs.lda(docs, 2, 6, alpha=1.0)
     rows = state.collect()
     assert len(rows) == 10 and all(len(r["z"]) == 20 and set(r["z"]) <= {0, 1} for r in rows)
