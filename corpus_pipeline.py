@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parflow.llm import decontaminate, mixing, near_dedup, token_files, toxicity
-from parflow.llm.common import materialise, table
+from parflow.llm.common import delete, materialise, table
 from parflow.llm.queries import tokenizer
 from parflow.session import ship
 
@@ -47,10 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next reads it."""
+    """All stages over ``documents``, each written to the shared folder before the next reads it; what a written stage has read
+    is deleted, so two copies of the corpus are there at most. The last stage reads files of its own."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        after = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, name)
+            after = materialise(after, name)
+        if k:
+            delete(docs)
+        docs = after
     return docs
