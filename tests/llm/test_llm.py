@@ -552,6 +552,50 @@ def test_license_scan_without_gates(spark):
         assert label[f"It is under {name} now"] == want
 
 
+def longest_match(pattern):
+    """Most words that a pattern can match, by its parse."""
+    import re._parser as parser
+
+    def most(tree):
+        n = 0
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                n += chr(arg) == " "
+            elif name == "BRANCH":
+                n += max(most(x) for x in arg[1])
+            elif name == "SUBPATTERN":
+                n += most(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                inner = most(arg[2])
+                n += inner * (int(arg[1]) if inner else 1)
+        return n
+
+    return most(parser.parse(pattern)) + 1
+
+
+def test_no_pattern_is_longer_than_the_window():
+    assert max(longest_match(r[4]) for r in RULES) <= license_scan.LONGEST
+
+
+def test_license_scan_of_very_many_matches(spark):
+    r = random.Random(2)
+    signs = ["cc by", "cc by sa 4 0", "creative commons attribution", "gpl v2", "gnu general public license version 2", "mit license", "the mit license", "all rights reserved", "under the terms of the gnu general public license version 2 only", "word"]
+    text = " ".join(r.choice(signs) for _ in range(700))
+    line, found = f" {text} ", []
+    for k, (label, priority, _, _, pattern) in enumerate(RULES):
+        for m in re.finditer(f"(?<= )(?:{pattern})(?= )", line, re.A):
+            first = line.count(" ", 0, m.start()) - 1
+            found.append((first, first + m[0].count(" "), (priority, m[0].count(" "), -k), label))
+    own = {x[3] for x in found if not any(y[0] <= x[0] and y[1] >= x[1] and y[2] > x[2] for y in found)}
+    got = license_scan.scan(spark.createDataFrame([(1, text), (2, "cc by " * 20_000)], "doc_id long, text string")).orderBy("doc_id").collect()
+    starts = [line.count(" ", 0, m.start()) - 1 for p in ("cc by", "general public license", "all rights reserved") for m in re.finditer(f"(?<= ){p}(?= )", line)]
+    base = {"cc-by", "gpl", "reserved"}
+    assert (got[0]["n_base"], got[0]["first_word"], got[0]["last_word"]) == (len(starts), min(starts), max(starts)) and len(found) > 1000
+    assert got[0]["labels"] == ",".join(sorted(own | base)) and got[0]["base_labels"] == "cc-by,gpl,reserved"
+    assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == (20_000, 0, 39_998)
+
+
 # -- pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
