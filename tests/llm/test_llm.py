@@ -200,6 +200,57 @@ def test_main_text():
     assert html_text.main_text(None) == ""
 
 
+def test_main_text_of_other_layouts():
+    t = html_text.main_text
+    long = "words of a text that goes on " * 12
+    assert t("<article><p>First one.</p><svg/><p>Second.</p></article>") == "First one.\nSecond."
+    assert t("<article><p>First one.</p><select><p>Second.</p></article>") == "First one.\nSecond."
+    assert t("<article><p>a<math>x</math> b</p><noscript><p>no</p></noscript><object>obj</object></article>") == "ax b\nno\nobj"
+    assert t("<article><header><h1>Title</h1></header><p>Text of it.</p></article>") == "Title\nText of it."
+    # no article element; names that mislead; a form round everything
+    for div in ('<div class="post tag-news">', '<div class="content promo-2020">', "<div>", '<div class="has-sidebar layout">'):
+        page = f"<nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>{div}<p>{long}</p><p>Short one.</p><p>{long}</p></div><footer>c 2020 by <a href=/i>us</a></footer>"
+        assert t(page) == f"{long.strip()}\nShort one.\n{long.strip()}", div
+    assert t(f"<form><nav><a href=/>Home</a> <a href=/n>News</a></nav><div><p>{long}</p><p>{long}</p></div></form>") == f"{long.strip()}\n{long.strip()}"
+    assert t(f"<article><p>{long}</p><div class=comments><p>I like it.</p></div></article><aside><p>{long}</p></aside>") == long.strip()
+    assert t("<article><p title=it's>one</p><p title='a>b'>two</p></article>") == "one\ntwo"
+
+
+def test_labelled_blocks_and_the_tree():
+    rows = html_text.labelled_table()
+    assert sum(html_text.is_article(x[:-1]) == x[-1] for x in rows) > 0.99 * len(rows)
+    node, used = [html_text.tree()], set()
+    while node:
+        x = node.pop()
+        if isinstance(x, tuple):
+            used.add(html_text.FIELDS[x[0]])
+            node += x[2:]
+    assert {"words", "links", "after_words", "place"} <= used
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    for x in ("<a ", "<i></u>", "<div>", "<select>", "<p a='", "<b><div></b>", "<script", "<!--", "</p", "<div class=ad>x", "<a href=x>y<p>"):
+        began = time.process_time()
+        html_text.main_text(x * (1_000_000 // len(x)))
+        assert time.process_time() - began < 30, x
+
+
+def test_main_text_of_all_pages():
+    import pyarrow.parquet as pq
+
+    at = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.isfile(at):
+        pytest.skip("no test data")
+    import html
+
+    for page in pq.read_table(at).column("html").to_pylist():
+        article = re.search("<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+        parts = (re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]+>", "", b))).strip() for b in re.split("</?(?:p|h1)>", article))
+        assert html_text.main_text(page) == "\n".join(p for p in parts if p)
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Hi &lt;you&gt;</p></article>", "t"), (1, "u", "<article><p>Hi &lt;you&gt;</p></article>", "t"), (None, None, None, None), (3, "v", "", "")], "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [("", 0), ("", 0), ("Hi <you>", 8), ("Hi <you>", 8)]
