@@ -326,29 +326,29 @@ def _progress(t) -> DataFrame:
     return t("events").df.groupBy(F.col("user_id").alias("worker")).agg(F.count(F.lit(1)).alias("step"), (F.max("event_id") % 2).alias("busy"))
 
 
-_ws = "ws as (select user_id as worker, count(*) as step, max(event_id) % 2 as busy from events group by 1), at as (select unnest([(select min(step) from ws), (select min(step) from ws) + 1, (select max(step) from ws)]) as now, unnest(['low', 'next', 'high']) as at), f as (select at, now, now + case when (select count(*) from ws where step >= now) = (select count(*) from ws) then 1 else 0 end as t from at)"
+_ws = "ws as (select user_id as worker, count(*) as step, max(event_id) % 2 as busy from events group by 1), points as (select unnest([(select min(step) from ws), (select min(step) from ws) + 1, (select max(step) from ws)]) as now, unnest(['low', 'next', 'high']) as point), f as (select point, now, now + case when (select count(*) from ws where step >= now) = (select count(*) from ws) then 1 else 0 end as t from points)"
 
 
 def _at_steps(t, rule: str, stale: int = 1) -> DataFrame:
     """The rule at the step that all have finished, at the next, and at one that almost nobody has."""
     ws, out = _progress(t), None
-    for at, now in (("low", F.min("step")), ("next", F.min("step") + 1), ("high", F.max("step"))):
-        one = barriers.admitted(ws, rule, ws.agg(now.alias("now")), stale).withColumn("at", F.lit(at))
+    for point, now in (("low", F.min("step")), ("next", F.min("step") + 1), ("high", F.max("step"))):
+        one = barriers.admitted(ws, rule, ws.agg(now.alias("now")), stale).withColumn("point", F.lit(point))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query(f"with {_ws} select at, worker, t from f cross join ws where t > now")
+@query(f"with {_ws} select point, worker, t from f cross join ws where t > now")
 def barrier_bsp(t):
     return _at_steps(t, "bsp")
 
 
-@query(f"with {_ws} select at, worker, t from f cross join ws where busy = 0 and step - t < 5")
+@query(f"with {_ws} select point, worker, t from f cross join ws where busy = 0 and step - t < 5")
 def barrier_ssp(t):
     return _at_steps(t, "ssp", 5)
 
 
-@query(f"with {_ws} select at, worker, t from f cross join ws where busy = 0")
+@query(f"with {_ws} select point, worker, t from f cross join ws where busy = 0")
 def barrier_asp(t):
     return _at_steps(t, "asp")
 
