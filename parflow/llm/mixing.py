@@ -7,7 +7,8 @@ long, the words taken come near the target.
 
 The prefix sum never orders a source in one task. Copies expected are equal within a source, so a document's sum is its rank
 times the rate, and ranks come from three counts: documents in shorter sizes (a window over distinct sizes, bounded by the
-longest text), in earlier blocks of ``BLOCK`` ids of the same size, and a row number within one block.
+longest text), in earlier blocks of ids of the same size (and blocks of blocks, so ids may lie as they like), and a row number
+within one block.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, own_name
 
-#: Ids in one block of the ranking; the largest group that a window sorts has that many distinct ids.
-BLOCK = 65536
+#: A block of the ranking has 2**BITS ids, a block of blocks as many blocks, and so on; no window sorts more distinct ones.
+BITS = 16
 #: No document is taken more often.
 MOST = 3
 
@@ -75,7 +76,9 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), s
     and takes 0 words; a null source is a source of its own, the last; a null doc_id ranks before others of its size; repeated
     rows are ranked as rows of their own. An empty table gives an empty one.
     """
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(4096)) - F.lit(1 << 52))
+    # rows without an id are spread by their text; without a text too they are alike, so it does not matter which is where
+    nobody = F.pmod(F.when(F.col("text").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text")), F.lit(4096))
+    block = F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BITS), -1 - nobody - F.lit(1 << 52))
     base = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), block.alias("block")), "mix")
     key = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none")]
     base = base.select("*", *key)
@@ -85,7 +88,16 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), s
     goal = goal.select("source_size", "target", *key, offset(F.col("source"), seed).alias("u"))
     upto = lambda by, over: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(over).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shorter = by_size.select("s", "none", "size", upto(["s", "none"], "size").alias("shorter")).join(goal, ["s", "none"])
-    cells = cells.select("s", "none", "size", "block", upto(["s", "none", "size"], "block").alias("earlier")).join(shorter, ["s", "none", "size"])
+    # earlier blocks, counted by blocks of blocks, so that no window has more than 2**BITS rows however ids lie
+    level = lambda k: F.shiftright("block", k * BITS).alias(f"b{k}")
+    wide = cells.groupBy("s", "none", "size", level(1), level(2)).agg(F.sum("n").alias("n"))
+    wider = wide.groupBy("s", "none", "size", "b2").agg(F.sum("n").alias("n"))
+    wider = wider.select("s", "none", "size", "b2", upto(["s", "none", "size"], "b2").alias("e2"))
+    wide = wide.select("s", "none", "size", "b1", "b2", upto(["s", "none", "size", "b2"], "b1").alias("e1"))
+    cells = cells.select("s", "none", "size", "block", level(1), level(2), F.col("n"))
+    cells = cells.select("s", "none", "size", "block", "b1", "b2", upto(["s", "none", "size", "b1"], "block").alias("e0"))
+    cells = cells.join(wide, ["s", "none", "size", "b1", "b2"]).join(wider, ["s", "none", "size", "b2"])
+    cells = cells.select("s", "none", "size", "block", (F.col("e0") + F.col("e1") + F.col("e2")).alias("earlier")).join(shorter, ["s", "none", "size"])
     place = F.row_number().over(Window.partitionBy("s", "none", "size", "block").orderBy(F.col("doc_id")))
     ranked = base.withColumn("place", place).join(cells, ["s", "none", "size", "block"])
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
@@ -100,15 +112,17 @@ def mixed_documents(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] =
     Copies are joined back by (doc_id, source, size). Rows that agree in all three share the copies of the group, each within
     one of the same number.
     """
-    key = ["__id", "__s", "__none", "__size"]
-    named = lambda df, size: df.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("__id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__s"), F.col("source").isNull().alias("__none"), size.alias("__size"))
-    taken = named(mix(docs, seed, weights, share), F.col("size")).groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.sum("copies").alias("__c")).filter("__c > 0")
+    names = {x: own_name(docs, f"mix_{x}") for x in ("id", "s", "none", "size", "n", "c", "i", "copies", "copy")}
+    key = [names[x] for x in ("id", "s", "none", "size")]
+    col = lambda x: F.col(names[x])
+    named = lambda df, size: df.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias(names["id"]), F.coalesce(F.col("source").cast("string"), F.lit("")).alias(names["s"]), F.col("source").isNull().alias(names["none"]), size.alias(names["size"]))
+    taken = named(mix(docs, seed, weights, share), F.col("size")).groupBy(*key).agg(F.count(F.lit(1)).alias(names["n"]), F.sum("copies").alias(names["c"])).filter(col("c") > 0)
     rows = named(docs, words(F.col("text"))).join(taken, key)
     i = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
-    rows = rows.withColumn("__i", i)
-    own = F.floor(F.col("__c") * F.col("__i") / F.col("__n")) - F.floor(F.col("__c") * (F.col("__i") - 1) / F.col("__n"))
-    rows = rows.withColumn("__copies", own.cast("int")).filter("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = rows.withColumn(names["i"], i)
+    own = F.floor(col("c") * col("i") / col("n")) - F.floor(col("c") * (col("i") - 1) / col("n"))
+    rows = rows.withColumn(names["copies"], own.cast("int")).filter(col("copies") > 0)
+    return rows.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), col("copies")))).select(*docs.columns)
 
 
 def oracle() -> str:
