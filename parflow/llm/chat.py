@@ -29,8 +29,6 @@ _any = "|".join(NAMES.values())
 MARKER = re.compile(rf"^\s*(?:<\|(?:im_start\|>)?\s*(?P<a>{_any})\s*(?:\|>)?|\[(?P<b>{_any})\]\s*:?|#{{1,4}}\s*(?P<c>{_any})\s*:?(?=\s|$)|\*\*(?P<d>{_any}):?\*\*\s*:?|<(?P<e>{_any})>|(?P<f>{_any})\s*(?::|>{{1,2}})(?=\s|$))[ \t]*", re.I)
 END = re.compile(r"\s*(?:<\|im_end\|>|<\|end\|>|<\|eot_id\|>|</s>|</(?:user|assistant|system|tool)>)\s*$", re.I)
 ROLE_OF = {n: r for r, names in NAMES.items() for n in names.replace("s?", "").split("|")} | {"instructions": "system"}
-#: Turns of one conversation that are parsed together; longer ones are parsed in blocks of so many.
-BLOCK_TURNS = 256
 S = 2 * len(ROLES)  # state 2 r opens a turn of role r, 2 r + 1 carries it on
 QUESTION = re.compile(r"\?\s*$|^\s*(?:who|what|when|where|why|how|can|could|please|is|are|do|does|write|explain|tell)\b", re.I)
 REPLY = re.compile(r"^\s*(?:sure|certainly|of course|here(?:'s| is| are)|i'm sorry|as an ai|yes|no|```|\d+\.)", re.I)
@@ -135,27 +133,29 @@ STYLES = (("", ": "), ("### ", ":\n"), ("<|", "|>\n"), ("[", "] "), ("**", ":**
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """Write conversation rows as raw transcripts: (conv_id, block, transcript), one for each ``BLOCK_TURNS`` turns of a conversation.
+    """Write conversation rows as raw transcripts: (conv_id, n_rows, transcript), one for each conversation, whole.
 
-    Rows are in order of turn, then role and text; a null turn counts as turn 0, a null text as empty, a null role as user.
-    Groups are bounded by the block, unless turns repeat.
+    Rows are in order of turn, then role and text; a null turn counts as turn 0, a null text as empty, a null role as user. A row
+    without a conv_id belongs to no other: it is a conversation of its own, so such rows never meet in one task. A conversation
+    is one row of the result, as a text is; a task holds the ones it works on, one at a time beside the batch.
     """
     style = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)), F.lit(len(STYLES)))
     pick = lambda k: F.element_at(F.array(*(F.lit(s[k]) for s in STYLES)), (style + 1).cast("int"))
     line = F.concat(pick(0), F.initcap(F.coalesce("role", F.lit("user"))), pick(1), F.coalesce("text", F.lit("")))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), "role", "text")
-    rows = rows.select("conv_id", F.floor(F.col("turn") / BLOCK_TURNS).cast("long").alias("block"), F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), line.alias("line")).alias("r"))
-    g = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return g.select("conv_id", "block", F.array_join(F.col("r")["line"], "\n").alias("transcript"))
+    rows = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), line.alias("line")).alias("r"))
+    g = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    g = g.unionByName(rows.filter("conv_id is null").select("conv_id", F.array("r").alias("r")))
+    return g.select("conv_id", F.size("r").cast("long").alias("n_rows"), F.array_join(F.col("r")["line"], "\n").alias("transcript"))
 
 
 def chats(conversations: DataFrame) -> DataFrame:
-    """Conversations through their raw transcripts: (conv_id, block, n_turns, roles, chat)."""
-    return format_transcripts(transcripts(conversations), ["conv_id", "block"])
+    """Conversations through their raw transcripts: (conv_id, n_rows, n_turns, roles, chat), one row each, by one Viterbi path."""
+    return format_transcripts(transcripts(conversations), ["conv_id", "n_rows"])
 
 
 ORACLE = """
-select conv_id, turn // 256 as block, count(*)::bigint as n_turns, string_agg(role, ',' order by turn, role, text) as roles,
+select conv_id, count(*)::bigint as n_rows, count(*)::bigint as n_turns, string_agg(role, ',' order by turn, role, text) as roles,
   string_agg('<|im_start|>' || role || chr(10) || trim(text, chr(32) || chr(9) || chr(10) || chr(13)) || '<|im_end|>' || chr(10), '' order by turn, role, text) as chat
-from conversations group by 1, 2
+from conversations group by 1
 """
