@@ -54,6 +54,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         head.append(int(m[1]))
         at = m.end()
     w, h, most = (*head, 1)[:3]
+    if w * h > 8 * len(data) or most > 65535:
+        raise ValueError("more samples than bytes can hold")
     n, shape = (3, (h, w, 3)) if kind in (3, 6) else (1, (h, w))
     if kind in (1, 2, 3):
         body = re.sub(rb"#[^\n]*", b"", data[at:])
@@ -70,7 +72,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed BMP of 8 (palette), 24 or 32 bits, to [rows, columns, 3]."""
     start, size = struct.unpack_from("<II", data, 10)
     w, h, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if packed not in (0, 3) or bits not in (8, 24, 32) or w <= 0 or abs(h) * w > len(data):
         raise ValueError("BMP kind")
     row = (w * bits // 8 + 3) // 4 * 4
     a = np.frombuffer(data, np.uint8, abs(h) * row, start).reshape(abs(h), row)[:, : w * bits // 8]
@@ -89,7 +91,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
             return decode_netpbm(data)
         if data and data[:2] == b"BM":
             return decode_bmp(data)
-    except (ValueError, struct.error, IndexError):
+    except (ValueError, OverflowError, struct.error, IndexError):
         pass
     return None
 
@@ -162,8 +164,13 @@ def image_tiles(images: DataFrame, key: str, media: str = "media", rows: int = 3
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """Read the stored images back and digest them, one row each."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"]
+    """Read stored images back, digest them and make their tiles, one row each: (doc_id, n_bytes, payload_bytes, payload_sha256,
+    tail_crc32, media_bytes, media_sha256, feature, tile). The feature is the difference hash, the tile an NPY file.
+
+    Null media give nulls in all but the first two; bytes that are no image of these kinds give their own size and digest, and
+    nulls in the rest. Repeated rows are worked off each; an empty table gives an empty one; no other column is looked at.
+    """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,9 +179,13 @@ def media_features(stored: DataFrame) -> DataFrame:
                 for x in part.column("media"):
                     m = x.as_py()
                     a = decode(m)
-                    body = a.tobytes()
-                    rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-WIDTH:]), len(m), hashlib.sha256(m).hexdigest(), difference_hash(a), hashlib.sha256(tile(a, 32, 32)).hexdigest()))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                    own = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+                    if a is None:
+                        rows.append((None, None, None, *own, None, None))
+                    else:
+                        body = a.tobytes()
+                        rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-WIDTH:]), *own, difference_hash(a), tile(a, 32, 32)))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(list(c), t) for c, t in zip(zip(*rows), kinds))], names)
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")

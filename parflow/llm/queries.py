@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, html_text, license_scan, media, mixing, near_dedup, token_counts, token_files, toxicity
-from .common import table
+from .common import materialise, table
 
 
 def tokenizer(name: str) -> str:
@@ -43,7 +43,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.text_media(table(spark, sf_dir, "documents")))
+    return media.media_features(materialise(media.text_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
