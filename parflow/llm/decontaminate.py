@@ -8,7 +8,8 @@ are counted: words substituted, left out or put in. An item is found where
 - the whole item, or any ``STRETCH`` words of it in a row, have at most 100 - ``percent`` % errors, or
 - any ``RUN`` words of it in a row stand unchanged.
 
-So a long enough part of an item counts like the whole. The seeds meet every such place of five words or more (words left out
+So a long enough part of an item counts like the whole. An item of fewer than five words is found where it is a whole line of a
+text, or the whole text. The seeds meet every such place of five words or more (words left out
 or put in between two pieces join them, if the pieces have four words together; a test tries all sets of errors).
 
 The benchmark goes to the executors in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents each, so what is
@@ -17,6 +18,7 @@ sent is bounded however large the benchmark is. Documents are not shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -36,7 +38,7 @@ MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 4, 5), (
 ITEM_MASKS = (*enumerate(MASKS), *((0, MASKS[g]) for g in (1, 2, 3)), *((g, MASKS[0]) for g in (1, 2, 3)))
 #: Words in a row of an item that are enough: with some errors, and without any.
 STRETCH, RUN = 40, 25
-#: Shorter items are not looked for: a few common words are no leak.
+#: Shorter items count where they are a whole line or a whole text: a few common words inside others are no leak.
 LEAST_WORDS = 5
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 22
@@ -69,13 +71,20 @@ class Matcher:
     """The seeds of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]], percent: int) -> None:
-        items = [(i, w) for i, w in items if len(w) >= LEAST_WORDS]
+        # long items first: short ones have no seeds, so only their numbers and lengths are looked at
+        items = sorted(((i, w) for i, w in items if w), key=lambda x: len(x[1]) < LEAST_WORDS)
         self.percent, self.ids = percent, [i for i, _ in items]
+        self.short: dict[tuple[bytes, ...], list[int]] = {}
+        for k, (_, w) in enumerate(items):
+            if len(w) < LEAST_WORDS:
+                self.short.setdefault(tuple(w), []).append(k)
+        lengths = [len(w) for _, w in items]
+        items = [(i, w) for i, w in items if len(w) >= LEAST_WORDS]
         self.vocabulary: dict[bytes, int] = {}
         for _, ws in items:
             for w in ws:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
-        self.lengths = np.array([len(w) for _, w in items], np.int64)
+        self.lengths = np.array(lengths, np.int64)
         self.codes = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
         got = [(h, np.full(len(at), i, np.int32), at.astype(np.int32)) for i, c in enumerate(self.codes) for at, h in seeds(c, ITEM_MASKS)]
         hashes, item, place = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
@@ -120,8 +129,23 @@ class Matcher:
                 ok[r[cost.min(1) <= errors]] = True
         return ok
 
+    def lines(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+        """As :meth:`find`, short items: those that are a whole line of a text, or the whole text."""
+        out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        for d, t in enumerate(texts if self.short else []):
+            at = 0
+            parts = [words(line) for line in re.split(r"[\r\n]+", t or "")]
+            for ws in [*parts, [w for p in parts for w in p] if sum(map(len, parts)) < LEAST_WORDS else []]:
+                for i in self.short.get(tuple(ws), ()) if len(ws) < LEAST_WORDS else ():
+                    out.setdefault((d, i), (d, i, min(at, sum(map(len, parts)) - len(ws)), len(ws)))
+                at += len(ws)
+        return list(out.values())
+
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(number of the text, number of the item, first word, words that agree), each item once a text, where it agrees best."""
+        return sorted(self.lines(texts) + self.seeded(texts))
+
+    def seeded(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         parts, starts, n = [], [], 0
         gap = np.full(max((m[-1] for m in MASKS)), -1, np.int64)
         for t in texts:
@@ -168,7 +192,7 @@ class Matcher:
                 # pieces that words left out or put in have shifted
                 beside = first[(doc == d) & (np.abs(first - best) <= near)]
                 out.append((int(d), int(i), int(best - starts[d]), int(agree(beside).any(0).sum())))
-        return sorted(out)
+        return out
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[bytes]]]]:
@@ -221,7 +245,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, most: int
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents that hold benchmark items, and no others: (doc_id, n_items, items, best), items as their ids, comma-joined."""
+    """The documents that hold benchmark items, and no others: (doc_id, n_items, items, best), items as their ids, comma-joined.
+
+    Null texts and null items hold nothing; rows of one doc_id are one document; rows with a null doc_id too, as their ids tell
+    them apart no more; empty tables give none; other columns are not looked at.
+    """
     g = overlaps(docs, benchmark, percent).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("i"), F.max(F.col("n_same") / F.col("n_words")).alias("best"))
     return g.select("doc_id", F.size("i").cast("long").alias("n_items"), F.array_join(F.col("i").cast("array<string>"), ",").alias("items"), "best")
 
