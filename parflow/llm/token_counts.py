@@ -8,6 +8,7 @@ what is counted never depends on it. Texts outside what the pattern is known to
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ from .common import slices
 
 #: Entries of a worker's table of counts.
 UNITS = 400_000
+#: Longer units and pieces are counted anew each time, so the table is bounded in bytes too.
+KEPT_CHARS = 64
 #: Outside these, or where a special token's string may stand, the library takes the whole text.
 PLAIN = "\t\n\r -~\xa1\xa7\xab\xac\xae\xb0\xb1\xb4\xb6\xb7\xbb\xbf-ſ‐-―‘-‟•…€"
 ODD = re.compile(f"[^{PLAIN}]|<\\|")
@@ -52,6 +55,12 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def cuts_as_known(file: dict) -> bool:
+    """Whether a tokenizer file cuts texts by the byte-level pattern that this module counts by; others go through the library."""
+    cut = file.get("pre_tokenizer") or {}
+    return file.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and file["model"].get("type", "BPE") == "BPE"
+
+
 class Counts:
     """Pieces by unit, for one tokenizer file."""
 
@@ -60,6 +69,8 @@ class Counts:
     def __init__(self, path: str) -> None:
         self.library = load(path)
         self.model = self.library.model
+        with open(path, encoding="utf-8") as f:
+            self.plain = cuts_as_known(json.load(f))
         self.units: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
 
@@ -74,14 +85,16 @@ class Counts:
         for p in PIECES.findall(unit):
             n = self.pieces.get(p)
             if n is None:
-                n = self.pieces[p] = len(self.model.tokenize(letters(p)))
+                n = len(self.model.tokenize(letters(p)))
+                if len(p) <= KEPT_CHARS and len(self.pieces) < UNITS:
+                    self.pieces[p] = n
             total += n
         return total
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if ODD.search(text):
+        if not self.plain or ODD.search(text):
             return len(self.library.encode(text, add_special_tokens=False).ids)
         if len(self.units) > UNITS:
             self.units, self.pieces = {}, {}
@@ -91,9 +104,13 @@ class Counts:
         else:
             first, *rest = text.split(" ")
         freq, known = Counter(rest), self.units
+        long = 0
         for u in [u for u in freq if u not in known]:
-            known[u] = self.unit(" " + u)
-        return self.unit(first) + sum(map(mul, map(known.__getitem__, freq), freq.values()))
+            if len(u) <= KEPT_CHARS:
+                known[u] = self.unit(" " + u)
+            else:
+                long += self.unit(" " + u) * freq.pop(u)
+        return self.unit(first) + long + sum(map(mul, map(known.__getitem__, freq), freq.values()))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
