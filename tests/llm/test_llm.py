@@ -73,7 +73,31 @@ def test_mixing(spark, odd, empty):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixing_of_sparse_ids_and_clashing_names(spark):
+    r = random.Random(3)
+    ids = [r.randrange(-(1 << 63), 1 << 63) for _ in range(300)] + list(range(5)) + [(1 << 63) - 1, -(1 << 63)]
+    rows = [(i, "w " * r.choice([0, 1, 3, 3, 3]), r.choice("ab"), 1) for i in ids] + [(None, None, "a", 1)] * 3 + [(None, "x y", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_id int").selectExpr("*", "1 as mix_s", "2 as copies", "3 as block", "4 as b1", "5 as taken")
+    got = mixing.mix(docs.repartition(3)).collect()
+    for s in "ab":
+        own = sorted((x for x in got if x["source"] == s), key=lambda x: (x["size"], x["doc_id"] is not None, x["doc_id"] or 0))
+        rate = min(3, own[0]["target"] / own[0]["source_size"])
+        u = int(hashlib.md5(f"17:={s}".encode()).hexdigest()[:5], 16) / 2**20
+        named = [(k, x) for k, x in enumerate(own) if x["doc_id"] is not None]
+        assert [x["copies"] for _, x in named] == [int((k + 1) * rate + u) - int(k * rate + u) for k, _ in named]
+    assert mixing.mixed_documents(docs).columns == docs.columns
+    assert mixing.mixed_documents(docs).filter("doc_id is not null").count() == sum(x["copies"] for x in got if x["doc_id"] is not None)
+
+
 # -- 2
+def test_long_units_are_not_kept():
+    c = token_counts.Counts(P.path("byte_bpe_50k.json"))
+    text = " ".join("ab" * 100 + str(i) for i in range(50)) + " " + "z" * 5000
+    assert c.count(text) == len(c.library.encode(text, add_special_tokens=False).ids) == c.count(text)
+    assert not c.units and max(map(len, c.pieces), default=0) <= token_counts.KEPT_CHARS
+    assert c.plain and not token_counts.cuts_as_known({"model": {}, "normalizer": {"type": "NFC"}})
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aZé'st .,\n\t0 9²…— <|>日 \x1c")), max_size=40))
 def test_units_count_as_whole_texts(text):
@@ -411,12 +435,18 @@ def test_chat(spark):
 
     best = max(itertools.product(range(chat.S), repeat=3), key=lambda s: chat.FIRST[s[0]] + e[0, s[0]] + sum(chat.NEXT[s[k - 1], s[k]] + e[k, s[k]] for k in (1, 2)))
     assert chat.viterbi(e) == list(best)
-    rows = spark.createDataFrame([(1, 0, "user", "hi", 1), (1, 1, "assistant", "there", 2), (1, 300, "user", "late", 3), (None, None, None, None, None), (2, 0, "user", "", 0)], "conv_id long, turn long, role string, text string, block int")
-    got = {(r["conv_id"], r["block"]): r["roles"] for r in chat.chats(rows).collect()}
-    assert got == {(1, 0): "user,assistant", (1, 1): "user", (None, 0): "user", (2, 0): "user"}
+    rows = spark.createDataFrame([(1, 0, "user", "hi", 1), (1, 1, "assistant", "there", 2), (1, 300, "user", "late", 3), (None, None, None, None, None), (None, 4, "assistant", "x", None), (2, 0, "user", "", 0), (2, 0, "user", "", 0)], "conv_id long, turn long, role string, text string, n_rows int")
+    got = sorted(((r["conv_id"], r["n_rows"], r["roles"]) for r in chat.chats(rows).collect()), key=repr)
+    assert got == [(1, 3, "user,assistant,user"), (2, 2, "user,user"), (None, 1, "assistant"), (None, 1, "user")]
     assert chat.chats(rows.limit(0)).count() == 0
 
 
+def test_long_conversations_stay_whole(spark):
+    rows = [(5, k, "user" if k % 2 == 0 else "assistant", f"turn {k}" + "\nand more" * (k % 3)) for k in range(1000)]
+    (got,) = chat.chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()
+    assert got["n_turns"] == 1000 and got["chat"] == chat.render([(r, t) for _, _, r, t in rows])
+
+
 # -- 8
 def test_media_round_trips():
     r = np.random.default_rng(1)
@@ -452,7 +482,26 @@ def test_media_columns(spark, odd, empty):
     assert [r["tile"] for r in tiles if r["doc_id"] in (77, 78)] == [None, None] and all(len(r["dhash"]) == 16 for r in tiles if r["tile"])
 
 
+def test_media_that_is_none(spark):
+    rows = [(1, 3, None), (2, 4, b"no image"), (3, 5, b"P5 99999999999999 9 255\n"), (4, 6, media.encode_pgm(np.full((2, 64), 7, np.uint8))), (None, None, b"P4 9999999999999999999999 1\n")]
+    stored = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary").selectExpr("*", "1 as tile", "2 as feature")
+    got = {r["doc_id"]: r for r in media.media_features(stored).collect()}
+    assert got[1]["media_bytes"] is None and got[1]["media_sha256"] is None and got[2]["media_bytes"] == 8
+    assert all(got[k]["payload_sha256"] is None and got[k]["tile"] is None for k in (1, 2, 3, None))
+    assert got[4]["payload_bytes"] == 128 and np.load(__import__("io").BytesIO(got[4]["tile"])).shape == (32, 32)
+    for bad in (b"P4\n99999999999999999999 3\n", b"P3 4000000000 4000000000 255 1", b"P2 2 2 99999999999999999999 1 2 3 4", b"BM" + b"\xff" * 60):
+        assert media.decode(bad) is None
+
+
 # -- 9
+def test_short_items_are_whole_lines(spark):
+    docs = spark.createDataFrame([(1, "Is water wet?"), (2, "so\nIs water wet\nyes"), (3, "tell me: is water wet or not"), (4, None), (5, "is\nwater\nwet"), (6, "yes")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "is water wet?"), (8, "..."), (9, None), (10, "Yes")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["first_word"], r["n_same"], r["n_words"]) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(1, 7, 0, 3, 3), (2, 7, 1, 3, 3), (2, 10, 4, 1, 1), (5, 7, 0, 3, 3), (6, 10, 0, 1, 1)}
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()) == [3, 4]
+
+
 def test_masks_meet_every_tolerated_substitution():
     import itertools
 
