@@ -10,6 +10,7 @@ anew before each round (of a toxic text the highest, of others the highest and a
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ THRESHOLD = 0.3
 #: Windows run through the network at once.
 BATCH = 4096
 KEPT = 150_000
+#: Words whose features are made at once, which bounds the memory that it takes.
+STEP = 8192
 #: Characters of a word input at most, and of the pieces that longer ones are cut into: short, as words in them are to tell.
 LONG, PIECE = 40, 8
 #: Where words beyond that are cut first.
@@ -108,7 +111,9 @@ class Words:
 
     def arrays(self, since: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word rows, character rows, and the word that each character row belongs to, for words numbered from ``since``."""
-        word, chars, n = features(self.names[max(0, since - 1) :])
+        names = self.names[max(0, since - 1) :]
+        parts = [features(names[k : k + STEP]) for k in range(0, len(names), STEP)] or [features([])]
+        word, chars, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
         if since == 0:
             word, n = np.append([0], word), np.append([0], n)
         return word, chars, np.repeat(np.arange(len(n)), n)
@@ -125,6 +130,7 @@ class Network:
         for k in "fb":
             self.p |= {f"W{k}": g(d, 3 * h, k=0.3), f"c{k}": np.zeros(3 * h, np.float32), f"U{k}": g(h, 3 * h, k=0.25)}
         self.scale, self.shift = 1.0, 0.0
+        self.key = uuid.uuid4().hex
 
     def inputs(self, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """Vectors of words."""
@@ -334,15 +340,16 @@ class Scorer:
         return self.net.probability(self.net.highest(ids, self.proj)[0])
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def scorer(kept) -> Scorer:
-    key = kept._bid if hasattr(kept, "_bid") else id(kept)
-    if key not in _scorers:
+    """The worker's scorer for a broadcast network, by the network's own key: a worker may serve several networks one after another."""
+    net = kept.value
+    if net.key not in _scorers:
         _scorers.clear()
-        _scorers[key] = Scorer(kept.value)
-    return _scorers[key]
+        _scorers[net.key] = Scorer(net)
+    return _scorers[net.key]
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
