@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from parflow.llm import chat, decontaminate, html_text, license_scan, media, mixing, near_dedup, shingles, token_counts, token_files, toxicity
+from parflow.llm import chat, decontaminate, html_text, license_scan, media, mixing, near_dedup, queries, shingles, token_counts, token_files, toxicity
 from parflow.llm.license_rules import BASE, RULES
 
 P = pytest.importorskip("public_tokenizers")
@@ -188,6 +188,50 @@ def test_toxic_wording_inside_long_words():
     assert a > b
 
 
+def test_scores_are_those_of_plain_windows(monkeypatch):
+    r = random.Random(4)
+    net = toxicity.Network(5)
+    for k, v in net.p.items():
+        net.p[k] = (v * 3).astype(np.float32)
+    texts = [None, "", "one", " ".join(f"w{r.randrange(60)}" for _ in range(31)), " ".join(f"w{r.randrange(60)}" for _ in range(200)), "x" * 90 + " y"]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def plain(ws):
+        """One window, word by word."""
+        x = []
+        for w in ws:
+            row, chars, _ = toxicity.features([w])
+            x.append(np.concatenate([net.p["word"][row[0]], net.p["char"][chars].mean(0) * 3]).astype(float))
+        states, h = np.zeros((len(ws), 2 * toxicity.HIDDEN)), toxicity.HIDDEN
+        for k, order, at in (("f", range(len(ws)), 0), ("b", reversed(range(len(ws))), h)):
+            s, W, U, c = np.zeros(h), net.p[f"W{k}"], net.p[f"U{k}"], net.p[f"c{k}"]
+            for t in order:
+                g = x[t] @ W + c
+                z, reset = sig(g[:h] + s @ U[:, :h]), sig(g[h : 2 * h] + s @ U[:, h : 2 * h])
+                s = (1 - z) * s + z * np.tanh(g[2 * h :] + (reset * s) @ U[:, 2 * h :])
+                states[t, at : at + h] = s
+        a = np.exp(states @ net.p["v"])
+        return float((a / a.sum()) @ states @ net.p["o"] + net.p["b"][0]) if len(ws) else float(net.p["b"][0])
+
+    want = []
+    for t in texts:
+        ws = toxicity.pieces((t or "").lower().split())
+        want.append(max(plain(ws[a:b]) for a, b in toxicity.windows(len(ws))))
+    assert net.score(texts) == pytest.approx(want, abs=2e-3)
+    monkeypatch.setattr(toxicity, "STEP", 7)
+    assert net.score(texts) == pytest.approx(want, abs=2e-3)
+
+
+def test_held_out_accuracy(spark):
+    at = "/root/testdata/sf0.01"
+    if not os.path.isdir(at):
+        pytest.skip("no test data")
+    got = toxicity.score(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")).filter("held_out")
+    got = got.join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").filter("toxic is not null").toPandas()
+    bad, fine = got[got.toxic == 1], got[got.toxic == 0]
+    assert bad.predicted.mean() >= 0.7 and fine.predicted.mean() <= 0.1, (len(bad), bad.predicted.mean(), len(fine), fine.predicted.mean())
+
+
 def test_toxicity(spark, odd, empty):
     r = random.Random(2)
     fine = ["".join(r.choice(["the", "an", "er", "on", "ti"]) for _ in range(r.randint(1, 3))) for _ in range(300)]
@@ -696,6 +740,22 @@ def test_license_scan_of_very_many_matches(spark):
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == (20_000, 0, 39_998)
 
 
+# -- all
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_agrees_with_sql(spark, name):
+    import duckdb
+
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("no test data")
+    duck = duckdb.connect()
+    for t in ("documents", "conversations"):
+        duck.sql(f"create view {t} as select * from '{at}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, at).toPandas(), duck.sql(queries.ORACLES[name]).df()
+    rows = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(object).values.tolist()), key=repr)
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
 # -- pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
