@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from parflow.functions.scalars import STOP_WORDS, ascii_lower, byte_length, split, squared_distance
 from parflow.operators.dataset import Dataset
 from parflow.plans import barriers
-from parflow.plans.params import ParamServer, PeerSwarm, Store, subtract_vectors
+from parflow.plans.params import ParamServer, PeerSwarm, Store, last_write, subtract_vectors
 from parflow.plans.ring import ring_hash
 from parflow.sources.io import materialise
 
@@ -248,6 +249,65 @@ def lda(docs: DataFrame, topics: int, sweeps: int, seed: int = 0, alpha: float =
     return state, curve
 
 
+def lda_peer(docs: DataFrame, topics: int, rounds: int, peers: int = 4, share: float = 0.1, seed: int = 0, alpha: float = 50.0, beta: float = 0.1, acts: Callable[[str, int], bool] = lambda peer, n: True) -> tuple[DataFrame, Store]:
+    """Gibbs sampling among peers: (doc, words, z) and the model, over documents (doc, words array<string>).
+
+    The model has a key for each word ("w:", tokens by topic), for the totals ("n") and for each document ("d:", its tokens'
+    topics). A round, each peer draws a ``share`` of the words, fetches their rows, the totals and its own documents, samples the
+    tokens of those words anew, and sends differences of rows, and the documents' new topics. Peers wait for the slowest. Only a
+    document's peer changes its topics, so rows always agree with them, however stale the rows were that it sampled by.
+    """
+    spark = docs.sparkSession
+    text = materialise(docs.select(F.col("doc").cast("long").alias("doc"), F.col("words").cast("array<string>").alias("words"), F.concat(F.lit("p"), F.pmod(F.col("doc").cast("long"), F.lit(peers))).alias("peer")), "lda")
+    first = text.select(F.concat(F.lit("d:"), "doc").alias("k"), "words", F.transform("words", lambda w, i: F.pmod(F.xxhash64("doc", i, F.lit(seed)), F.lit(topics)).cast("double")).alias("v"))
+    tokens = first.select(F.explode(F.arrays_zip("words", "v")).alias("x")).select(F.concat(F.lit("w:"), F.col("x.words")).alias("k"), F.col("x.v").alias("z"))
+    by_topic = F.array(*(F.sum(F.when(F.col("z") == j, 1.0).otherwise(0.0)) for j in range(topics))).alias("v")
+    model = first.select("k", "v").unionByName(tokens.groupBy("k").agg(by_topic)).unionByName(tokens.agg(by_topic).select(F.lit("n").alias("k"), F.coalesce("v", F.array(*[F.lit(0.0)] * topics)).alias("v")))
+    store = Store(materialise(model.withColumn("t", F.lit(0).cast("long")), "lda"))
+    vocabulary = store.df.filter("k like 'w:%'").count()
+    swarm = PeerSwarm(store, {f"p{i}": ring_hash(i + 1) for i in range(peers)}, barriers.p2p_bsp, acts)
+
+    def schedule(s: PeerSwarm, go: list[str]) -> DataFrame:
+        none = F.lit(None).cast("array<string>").alias("words")
+        own = text.filter(F.col("peer").isin(go))
+        words = own.select("peer", F.explode("words").alias("w")).distinct().filter(drawn(share, seed, s.rounds, F.col("peer"), "w"))
+        totals = spark.createDataFrame([(p, "n") for p in go], "peer string, k string").select("peer", "k", none)
+        return own.select("peer", F.concat(F.lit("d:"), "doc").alias("k"), "words").unionByName(words.select("peer", F.concat(F.lit("w:"), "w").alias("k"), none)).unionByName(totals)
+
+    def push(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = {k[2:]: np.array(v) for k, v in zip(frame.k, frame.v) if k.startswith("w:")}
+        n_k = np.array(next(v for k, v in zip(frame.k, frame.v) if k == "n"))
+        was, n_was, out = {k: v.copy() for k, v in rows.items()}, n_k.copy(), []
+        for k, v, words, t in zip(frame.k, frame.v, frame.words, frame.t):
+            if not k.startswith("d:"):
+                continue
+            r, z = np.random.default_rng([seed, zlib.crc32(k.encode()), int(t)]), np.array(v, int)
+            n_d = np.bincount(z, minlength=topics).astype(float)
+            for i, w in enumerate(words):
+                if w not in rows:
+                    continue
+                for place in (n_d, rows[w], n_k):
+                    place[z[i]] -= 1
+                p = np.maximum(n_d + alpha / topics, 0) * np.maximum(rows[w] + beta, 0) / np.maximum(n_k + vocabulary * beta, 1e-9)
+                z[i] = min(int(np.searchsorted(np.cumsum(p), r.random() * p.sum(), "right")), topics - 1)
+                for place in (n_d, rows[w], n_k):
+                    place[z[i]] += 1
+            out.append((k, z.astype(float).tolist()))
+        out += [(f"w:{k}", (was[k] - v).tolist()) for k, v in rows.items()] + [("n", (n_was - n_k).tolist())]
+        return pd.DataFrame(out, columns=["k", "v"])
+
+    def pull(updates: DataFrame, store: DataFrame) -> DataFrame:
+        topics_of, rest = updates.filter("k like 'd:%'"), updates.filter("k not like 'd:%'")
+        return last_write(topics_of, "t").unionByName(subtract_vectors(rest, store))
+
+    swarm.register_schedule(schedule)
+    swarm.register_push(push)
+    swarm.register_pull(pull)
+    swarm.start(rounds)
+    z = store.df.filter("k like 'd:%'").select(F.substring("k", 3, 30).cast("long").alias("doc"), F.col("v").cast("array<int>").alias("z"))
+    return text.select("doc", "words").join(z, "doc"), store
+
+
 class NdArray:
     """A distributed array as rows (i, value), i being the row-major position."""
 

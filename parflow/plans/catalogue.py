@@ -486,6 +486,17 @@ def lda_gibbs(t):
     return programs.lda_counts(tokens, F.col("z")).groupBy("w").agg(F.sum("n").alias("n"))
 
 
+@query("select w, count(*) as n from (select unnest(regexp_split_to_array(text, '[ \t\n]')) as w from documents) t where strlen(w) > 0 group by 1")
+def lda_peer(t):
+    """Four topics, one round among three peers; rows of the model that agree with the documents' topics."""
+    words = F.filter(split(F.col("text")), lambda w: F.octet_length(w) > 0)
+    state, store = programs.lda_peer(t("documents").df.select(F.col("doc_id").alias("doc"), words.alias("words")), 4, 1, 3)
+    tokens = state.select(F.explode(F.arrays_zip("words", "z")).alias("x")).select(F.col("x.words").alias("w"), F.col("x.z").alias("z"))
+    rows = tokens.groupBy("w").agg(F.array(*(F.sum((F.col("z") == j).cast("double")) for j in range(4))).alias("by"))
+    model = store.df.filter("k like 'w:%'").select(F.col("k").substr(F.lit(3), F.length("k")).alias("w"), "v")
+    return rows.join(model, "w").filter("by = v").select("w", F.aggregate("v", F.lit(0.0), lambda a, b: a + b).cast("long").alias("n"))
+
+
 @query("select l_orderkey, l_linenumber from lineitem where ('0x' || substr(md5('11:' || l_orderkey || ':' || l_linenumber), 1, 8))::bigint < 429496729")
 def sample(t):
     return t("lineitem").map("l_orderkey", "l_linenumber").sample(0.1, 11, ["l_orderkey", "l_linenumber"])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from parflow.sources.io import discard, materialise
 
 from . import barriers
-from .ring import owner, ring_hash
+from .ring import SPACE, owner, ring_hash
 
 BARRIERS = {"bsp": barriers.bsp, "ssp": barriers.ssp, "asp": barriers.asp, "psp": lambda s, p: barriers.psp(s, p, sample=2)}
 #: A settled table with at most so many rows and bytes is kept as rows of the plan.
@@ -234,8 +234,10 @@ class PeerSwarm:
         return max(self.steps.values(), default=0)
 
     def owners(self, df: DataFrame | None = None) -> DataFrame:
-        """Rows with a key, and the peer that owns it."""
-        return (self.store.df if df is None else df).withColumn("owner", owner(ring_hash(F.col("k")), self.peers))
+        """Rows with a key, and the peer that owns it; keys that are strings are placed by a digest."""
+        df = self.store.df if df is None else df
+        place = F.pmod(F.xxhash64("k"), F.lit(SPACE)) if dict(df.dtypes)["k"] == "string" else ring_hash(F.col("k"))
+        return df.withColumn("owner", owner(place, self.peers))
 
     def get(self, k: Any) -> tuple[Any, int]:
         return self.store.get(k)
