@@ -41,7 +41,8 @@ STRETCH, RUN = 40, 25
 #: Shorter items count where they are a whole line or a whole text: a few common words inside others are no leak.
 LEAST_WORDS = 5
 BLOCK_WORDS = 1_000_000
-FILTER_BITS = 22
+#: The filter of seeds has eight places for each, 2**25 (32 MB) at most.
+FILTER_BITS = 25
 _drop = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _table = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in _drop)
 
@@ -90,8 +91,9 @@ class Matcher:
         hashes, item, place = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.item, self.place = hashes[order].astype(np.uint64), item[order], place[order]
-        self.bloom = np.zeros(1 << FILTER_BITS, bool)
-        self.bloom[(self.hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        self.shift = np.uint64(64 - min(FILTER_BITS, max(10, (8 * len(self.hashes)).bit_length())))
+        self.bloom = np.zeros(1 << int(64 - self.shift), bool)
+        self.bloom[(self.hashes >> self.shift).astype(np.int64)] = True
 
     def stretches(self, size: int) -> list[tuple[int, int]]:
         """(words in a row, errors allowed) of which any one is enough. Beyond nine stretches a whole item always holds a good one."""
@@ -158,7 +160,7 @@ class Matcher:
         codes, starts = np.concatenate(parts), np.array(starts)
         places, items = [], []
         for at, h in seeds(codes):
-            ok = self.bloom[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+            ok = self.bloom[(h >> self.shift).astype(np.int64)]
             at, h = at[ok], h[ok]
             lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
             k = hi - lo
