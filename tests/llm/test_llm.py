@@ -780,3 +780,26 @@ def test_pipeline(spark, tmp_path):
             assert {r["doc_id"] for r in out.collect()} == {i for i, (_, c) in brute(rows, 80).items() if i == c}
     assert out.count() == spark.read.parquet(f"{tmp_path}/3").count()
     assert cp.run(spark, at).count() == out.count()
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = "some words that are here more than once so that they count " * 2000
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "the same words stand here twice and again", "en", "a", 41), (4, "The same words stand here twice and again", "en", None, 41), (None, "no id here", "en", "b", 10), (5, long, "en", "b", len(long)), (6, "a benchmark item of nine words is in here", None, "b", 41), (6, "another text of the same id", None, "b", 27)]
+    for name, part in (("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([(1, "a benchmark item of nine words is in here"), (2, None)], "item_id long, text string"))):
+        part.write.parquet(f"{tmp_path}/{name}.parquet")
+    stages = dict(cp.STAGES)
+    run = lambda name, docs: stages[name](spark, docs, str(tmp_path))
+    for docs, few in ((spark.createDataFrame(rows, schema), False), (spark.createDataFrame([], schema), True)):
+        n = 0 if few else len(rows)
+        assert run("toxicity", docs).count() == n
+        kept = run("near_dedup", docs)
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"] or 0 for r in kept.collect())) == ([] if few else [0, 1, 2, 3, 5, 6])
+        clean = [r["text"] for r in run("decontamination", docs).collect()]
+        assert len(clean) == max(0, n - 1) and rows[6][1] not in clean
+        mixed = run("mixing", docs)
+        assert mixed.columns == docs.columns and {r["text"] for r in mixed.collect()} <= {r[1] for r in rows}
+        assert run("token_output", docs).count() == n
