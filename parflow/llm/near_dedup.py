@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import delete, materialise, own_name, screen, slices
 from .components import components
-from .shingles import common, mix64, shingle_set
+from .shingles import common, forget, mix64, shingle_set
 
 BANDS, ROWS = 28, 4
 #: Words of 64 bits in an odd sketch.
@@ -94,6 +94,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     else:
                         key.append(None), bands.append(None), sketch.append(None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], names)
+        forget()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
@@ -207,7 +208,8 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 #: The query in DuckDB SQL: every pair of documents that share a shingle is compared on full sets, then links are followed.
 ORACLE = r"""
-with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from documents),
 s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from d),
 n as (select doc_id, len(s)::bigint as n from s),
 u as (select doc_id, unnest(s) as x from s),

@@ -9,8 +9,8 @@ from .common import ascii_lower_words
 
 #: Words in a shingle.
 WORDS = 5
-#: Distinct words a worker remembers the hashes of.
-KEPT = 500_000
+#: Distinct words a worker remembers the hashes of, within a task.
+KEPT = 150_000
 ODD = (np.random.default_rng(5).integers(0, 1 << 63, 64, np.uint64) << np.uint64(1)) | np.uint64(1)
 _hashes: dict[bytes, int] = {}
 
@@ -31,6 +31,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+def forget() -> None:
+    """Drop the words' hashes: at a task's end, as the worker may serve other operators next."""
+    _hashes.clear()
+
+
 def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; with fewer than ``n`` words one of the whole sequence, without words none."""
     words = ascii_lower_words(text)

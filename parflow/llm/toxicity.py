@@ -10,7 +10,6 @@ anew before each round (of a toxic text the highest, of others the highest and a
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ ROUNDS = 5
 THRESHOLD = 0.3
 #: Windows run through the network at once.
 BATCH = 4096
-KEPT = 150_000
+KEPT = 100_000
 #: Words whose features are made at once, which bounds the memory that it takes.
 STEP = 8192
 #: Characters of a word input at most, and of the pieces that longer ones are cut into: short, as words in them are to tell.
@@ -130,7 +129,6 @@ class Network:
         for k in "fb":
             self.p |= {f"W{k}": g(d, 3 * h, k=0.3), f"c{k}": np.zeros(3 * h, np.float32), f"U{k}": g(h, 3 * h, k=0.25)}
         self.scale, self.shift = 1.0, 0.0
-        self.key = uuid.uuid4().hex
 
     def inputs(self, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """Vectors of words."""
@@ -319,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 3) -> Network:
 
 
 class Scorer:
-    """A network in a Python worker, with the projections of frequent words kept between batches."""
+    """A network in a task, with the projections of words kept between batches."""
 
     def __init__(self, net: Network) -> None:
         self.net = net
@@ -340,18 +338,6 @@ class Scorer:
         return self.net.probability(self.net.highest(ids, self.proj)[0])
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer(kept) -> Scorer:
-    """The worker's scorer for a broadcast network, by the network's own key: a worker may serve several networks one after another."""
-    net = kept.value
-    if net.key not in _scorers:
-        _scorers.clear()
-        _scorers[net.key] = Scorer(net)
-    return _scorers[net.key]
-
-
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Toxicity of every whole text: (doc_id, held_out, score, predicted).
 
@@ -361,7 +347,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     kept = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = scorer(kept)
+        of = Scorer(kept.value)  # goes with the task: the worker may serve other operators next
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
                 s = of(part.column("text").to_pylist())
@@ -378,14 +364,16 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def _passes(kept, threshold: float):
     @F.pandas_udf("boolean")
-    def passes(texts: pd.Series) -> pd.Series:
-        of, out, part, size = scorer(kept), [], [], 0
-        for t in texts:
-            part.append(t)
-            size += len(t or "")
-            if size > 1_000_000:
-                out.append(of(part) < threshold)
-                part, size = [], 0
-        return pd.Series(np.concatenate([*out, of(part) < threshold]) if part or out else np.zeros(0, bool))
+    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = Scorer(kept.value)
+        for texts in batches:
+            out, part, size = [], [], 0
+            for t in texts:
+                part.append(t)
+                size += len(t or "")
+                if size > 1_000_000:
+                    out.append(of(part) < threshold)
+                    part, size = [], 0
+            yield pd.Series(np.concatenate([*out, of(part) < threshold]) if part or out else np.zeros(0, bool))
 
     return passes
