@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH, DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 _shipped: dict[str, str] = {}
 
 
@@ -23,8 +24,11 @@ def session(app: str = "parflow", master: str | None = None, **conf: str) -> Spa
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors once per application, so that their Python workers can import it."""
+    """Send the package to the executors once per application, so that their Python workers can import it. Batches for Python are
+    made shorter than Spark's default, as rows may be long texts; a setting of one's own stays."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(BATCH, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH, "2000")
     if app not in _shipped:
         root = Path(__file__).resolve().parent
         at = os.path.join(tempfile.mkdtemp(prefix="parflow-"), "parflow.zip")
