@@ -13,47 +13,100 @@ has one row a shard.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch, slices
-from .token_counts import ODD, UNITS, letters, load
+from .token_counts import LETTERS, ODD, UNITS, letters, load
 
 #: Bytes of text for one shard.
 SHARD_BYTES = 16 << 20
 #: Id written after each document.
 END = 1
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Characters of a worker's table of units.
+CHARS = 32 * UNITS
+#: Pieces of units that stand one a line; the line feeds between units are found too.
+PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: What a tokenizer file must say for that.
+LAST = "</w>"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 MASK = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qBBI")
 SUM = struct.Struct("<I")
 
 
+def cuts_as_known(file: dict) -> bool:
+    """Whether a tokenizer file cuts texts as ``PIECES`` does and marks each piece's last id; others go through the library."""
+    model = file["model"]
+    if (file.get("normalizer"), file.get("pre_tokenizer")) != (NORMALIZER, PRE_TOKENIZER) or model.get("type") != "BPE" or model.get("end_of_word_suffix") != LAST:
+        return False
+    return not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges")) and all(c + end in model["vocab"] for c in LETTERS.values() for end in ("", LAST))
+
+
+def gather(flat: array, starts: array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` of ``flat`` laid end to end, and where each ends."""
+    bounds = np.asarray(starts)
+    begin = bounds[at]
+    n = bounds[at + 1] - begin
+    ends = np.cumsum(n)
+    places = np.repeat(begin - (ends - n), n)
+    places += np.arange(len(places))
+    return np.asarray(flat)[places], ends
+
+
 class Ids:
-    """Ids by white-space delimited unit, for one tokenizer file; bounded by ``UNITS`` entries, then begun anew."""
+    """Ids by white-space delimited unit, for one tokenizer file; bounded by ``UNITS`` entries and ``CHARS`` characters, then begun anew.
+
+    Arrow cuts a batch of texts into units, and each distinct one is looked up once. Units not met before are cut into pieces by
+    one search, and pieces not met before go through the merge table in one call; ids that end with ``LAST`` tell where each piece ends.
+    """
 
     kept: dict[str, Ids] = {}
 
     def __init__(self, path: str) -> None:
         self.library = load(path)
-        self.model = self.library.model
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.plain = cuts_as_known(file)
+        if self.plain:
+            self.merges = Tokenizer(self.library.model)
+            self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocab = file["model"]["vocab"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(LAST)]] = True
         self.clear()
+        self.clear_pieces()
 
     def clear(self) -> None:
-        self.pieces: dict[str, array] = {}
         self.units: dict[str, int] = {}
-        self.flat, self.starts = array("I"), array("q", [0])
+        self.flat, self.starts, self.chars = array("I"), array("q", [0]), 0
+
+    def clear_pieces(self) -> None:
+        self.pieces: dict[str, int] = {"\n": 0}
+        self.piece_flat, self.piece_starts, self.piece_chars = array("I"), array("q", [0, 0]), 0
 
     @classmethod
     def of(cls, path: str) -> Ids:
@@ -61,32 +114,53 @@ class Ids:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def add(self, unit: str) -> None:
-        for p in PIECES.findall(unit.lower()):
-            ids = self.pieces.get(p)
-            if ids is None:
-                ids = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(letters(p))])
-            self.flat.extend(ids)
-        self.units[unit] = len(self.starts) - 1
-        self.starts.append(len(self.flat))
+    def add(self, units: list[str]) -> None:
+        if len(self.pieces) > UNITS or self.piece_chars > CHARS:
+            self.clear_pieces()
+        joined = "\n".join(units).lower()
+        self.chars += len(joined)
+        found = PIECES.findall(joined)
+        fresh = [p for p in dict.fromkeys(found) if p not in self.pieces]
+        if fresh:
+            lines = letters("\n".join(fresh)).replace(LETTERS[10], "\n")
+            self.piece_chars += len(lines)
+            ids = np.array(self.merges.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.uint32)
+            self.piece_starts.frombytes((np.flatnonzero(self.last[ids]) + 1 + len(self.piece_flat)).tobytes())
+            self.piece_flat.frombytes(ids.tobytes())
+            self.pieces.update(zip(fresh, range(len(self.pieces), len(self.pieces) + len(fresh))))
+        at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        ids, ends = gather(self.piece_flat, self.piece_starts, at)
+        self.starts.frombytes((np.append(ends[at == 0], len(ids)) + len(self.flat)).tobytes())
+        self.flat.frombytes(ids.tobytes())
+        self.units.update(zip(units, range(len(self.units), len(self.units) + len(units))))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Each whole text's ids as the library gives them; null as empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD.pattern) if self.plain else pa.array([True] * len(texts), pa.bool_())
+        if len(self.units) > UNITS or self.chars > CHARS:
+            self.clear()
+        units = pc.ascii_split_whitespace(texts.filter(pc.invert(odd)))
+        coded = units.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        at = np.fromiter(map(self.units.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.units) + np.arange(len(new))
+            self.add(words[new].tolist())
+        ids, ends = gather(self.flat, self.starts, at[coded.indices.to_numpy()])
+        cuts = iter(np.append(0, ends)[units.offsets.to_numpy()].tolist())
+        begin = next(cuts)
+        for k, through in enumerate(odd.to_pylist()):
+            if through:
+                yield np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+            else:
+                end = next(cuts)
+                yield ids[begin:end]
+                begin = end
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The whole text's ids as the library gives them; null as empty."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if ODD.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(self.units) > UNITS:
-            self.clear()
-        units = text.split()
-        for u in {u for u in units if u not in self.units}:
-            self.add(u)
-        at = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
-        flat, starts = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.starts, np.int64)
-        begin, n = starts[at], starts[at + 1] - starts[at]
-        out = flat[np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum())] if len(at) else np.zeros(0, np.uint32)
-        del flat, starts
-        return out
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 def masked(data: bytes) -> int:
@@ -160,9 +234,9 @@ def write(docs: DataFrame, tokenizer: str, at: str, shards: int | None = None) -
                 system.create_dir(name.rpartition("/")[0], recursive=True)
                 out, where = system.open_output_stream(name), 0
             for part in slices(batch, "text"):
-                for d, t in zip(part.column("doc_id"), part.column("text")):
-                    x = np.append(ids.encode(t.as_py()), np.uint32(END))
-                    body = record(d.as_py(), x)
+                for d, x in zip(part.column("doc_id").to_pylist(), ids.encode_all(part.column("text"))):
+                    x = np.append(x, np.uint32(END))
+                    body = record(d, x)
                     out.write(body)
                     index.append(where)
                     where, n, total = where + len(body), n + 1, total + len(x)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -355,6 +356,53 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert token_files.token_files(empty, path).count() == 0
 
 
+def invented(seed, n, texts):
+    """Texts of ASCII and accented words, most of them met often and some once, with digits and marks."""
+    r = random.Random(seed)
+    parts = ["an", "ber", "ción", "der", "éa", "ing", "lo", "on", "ste", "the", "wh", "ße", "x"]
+    return [" ".join("".join(r.choices(parts, k=r.choice([1, 1, 2, 2, 2, 3, 3, 4]))) + r.choice(["", "", "", ",", ".", "'s", "42"]) for _ in range(n)) for _ in range(texts)]
+
+
+def test_ids_of_batches(monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    c = token_files.Ids(path)
+    batch = [None, "", "  \n", *TEXTS, *invented(1, 200, 20), " a\tB  c ", "x" * 5000 + " don't 1234 —…"]
+    want = [c.library.encode(t or "", add_special_tokens=False).ids for t in batch]
+    array = pa.array([*batch, "cut off"], pa.string())
+    for units, chars in ((token_files.UNITS, token_files.CHARS), (50, token_files.CHARS), (token_files.UNITS, 50)):
+        monkeypatch.setattr(token_files, "UNITS", units)
+        monkeypatch.setattr(token_files, "CHARS", chars)
+        for step in (len(batch), 7, 1):
+            assert [x.tolist() for i in range(0, len(batch), step) for x in c.encode_all(array.slice(i, min(step, len(batch) - i)))] == want
+            assert max(len(c.units), len(c.pieces)) <= units + 4000
+    assert list(c.encode_all(array.slice(0, 0))) == []
+    assert [x.tolist() for x in c.encode_all(pa.array(batch, pa.large_string()))] == want
+
+
+def test_ids_of_another_tokenizer_file():
+    c = token_files.Ids(P.path("byte_bpe_50k.json"))
+    for text in ["Don't  stop, it's 42", "naïve a b", "", None]:
+        assert c.encode(text).tolist() == c.library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_ids_cost_a_fifth_of_the_library():
+    import time
+
+    path, texts = P.path("word_bpe_49k.json"), invented(2, 300, 2000)
+    array = pa.array(texts)
+
+    def cpu(f):
+        took = []
+        for _ in range(3):
+            c = token_files.Ids(path)
+            began = time.process_time()
+            f(c)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert cpu(lambda c: list(c.encode_all(array))) < cpu(lambda c: c.library.encode_batch_fast(texts, add_special_tokens=False)) / 5
+
+
 def test_wide_ids_survive():
     ids = np.array([1, 70_000], np.uint32)
     assert token_files.record(5, ids)[12 + 9] == 4
