@@ -30,13 +30,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch, slices
-from .token_counts import LETTERS, ODD, UNITS, letters, load
+from .token_counts import LETTERS, ODD, letters, load
 
 #: Bytes of text for one shard.
 SHARD_BYTES = 16 << 20
 #: Id written after each document.
 END = 1
-#: Characters of a worker's table of units.
+#: Bytes of text that are encoded together; with the tables below it bounds a worker's memory.
+SLICE = 1_000_000
+#: Entries and characters of a worker's table of units, and of that of pieces.
+UNITS = 300_000
 CHARS = 32 * UNITS
 #: Pieces of units that stand one a line; the line feeds between units are found too.
 PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -135,7 +138,11 @@ class Ids:
         self.units.update(zip(units, range(len(self.units), len(self.units) + len(units))))
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """Each whole text's ids as the library gives them; null as empty."""
+        """Each whole text's ids as the library gives them; null as empty. ``SLICE`` bytes are worked off at a time, or one text."""
+        for part in slices(pa.record_batch([texts], ["text"]), "text", SLICE):
+            yield from self.encode_slice(part.column("text"))
+
+    def encode_slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, ODD.pattern) if self.plain else pa.array([True] * len(texts), pa.bool_())
         if len(self.units) > UNITS or self.chars > CHARS:
@@ -233,13 +240,12 @@ def write(docs: DataFrame, tokenizer: str, at: str, shards: int | None = None) -
                 system, name = file_system(path)
                 system.create_dir(name.rpartition("/")[0], recursive=True)
                 out, where = system.open_output_stream(name), 0
-            for part in slices(batch, "text"):
-                for d, x in zip(part.column("doc_id").to_pylist(), ids.encode_all(part.column("text"))):
-                    x = np.append(x, np.uint32(END))
-                    body = record(d, x)
-                    out.write(body)
-                    index.append(where)
-                    where, n, total = where + len(body), n + 1, total + len(x)
+            for d, x in zip(batch.column("doc_id").to_pylist(), ids.encode_all(batch.column("text"))):
+                x = np.append(x, np.uint32(END))
+                body = record(d, x)
+                out.write(body)
+                index.append(where)
+                where, n, total = where + len(body), n + 1, total + len(x)
         if system is not None:
             out.close()
             with system.open_output_stream(name.removesuffix(".rec") + ".idx") as f:

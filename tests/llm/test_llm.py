@@ -403,6 +403,18 @@ def test_ids_cost_a_fifth_of_the_library():
     assert cpu(lambda c: list(c.encode_all(array))) < cpu(lambda c: c.library.encode_batch_fast(texts, add_special_tokens=False)) / 5
 
 
+def test_ids_of_a_large_batch_take_little_memory():
+    import tracemalloc
+
+    c, array = token_files.Ids(P.path("word_bpe_49k.json")), pa.array(invented(3, 300, 2000))
+    tracemalloc.start()
+    for _ in c.encode_all(array):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+
+
 def test_wide_ids_survive():
     ids = np.array([1, 70_000], np.uint32)
     assert token_files.record(5, ids)[12 + 9] == 4
