@@ -39,6 +39,16 @@ def test_callables(spark):
     assert dict(map(tuple, pairs(spark, [("a", 1), ("a", 2), ("b", 5)]).reduce_by_key(lambda a, b: a + b).rows())) == {"a": 3, "b": 5}
 
 
+def test_reduce_by_key_callable_of_empty_tasks_and_nulls(spark):
+    d = pairs(spark, [("a", 2**53 + 1), (None, 4)], 8)  # most tasks have no row
+    assert dict(map(tuple, d.reduce_by_key(max).rows())) == {"a": 2**53 + 1, None: 4}
+    d = pairs(spark, [("a", None), ("a", 2**53 + 1), ("b", None), (None, None), (None, -(2**63)), ("c", 2**63 - 1), ("c", None)], 1)
+    assert dict(map(tuple, d.reduce_by_key(max).rows())) == {"a": 2**53 + 1, "b": None, None: -(2**63), "c": 2**63 - 1}
+    assert pairs(spark, [], 2).reduce_by_key(max).rows() == []
+    kinds = Dataset(spark.sql("select * from values (double('nan'), timestamp'2020-01-01'), (double('nan'), timestamp'2021-01-01'), (null, null) t(k, v)"))
+    assert sorted(map(str, kinds.reduce_by_key(max).df.select(F.col("k").cast("string"), F.col("v").cast("string")).rdd.map(tuple).collect())) == ["('NaN', '2021-01-01 00:00:00')", "(None, None)"]
+
+
 def test_zero_enters_fold_once(spark):
     assert numbers(spark, [1, 2, 3]).fold(lambda a, b: a + b, 10.0) == 16
 
