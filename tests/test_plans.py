@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from parflow.algos import programs
+from parflow.algos import gibbs, programs
 from parflow.operators.dataset import Dataset
 from parflow.plans import barriers, params, ring
 from parflow.plans.barriers import Progress
@@ -208,6 +208,42 @@ def test_lda(spark):
     assert curve[-1] > curve[0]
 
 
+@pytest.mark.parametrize("head", [0, 30])
+def test_lda_against_its_rule(spark, monkeypatch, head):
+    """Token after token, as the sampler says, with blocks, chunks and rows sent to all so small that there are several."""
+    monkeypatch.setattr(gibbs, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(gibbs, "CHUNK", 60)
+    monkeypatch.setattr(gibbs, "HEAD", head)
+    r = np.random.default_rng(5)
+    docs = [(d, [str(int(w)) for w in r.zipf(1.5, int(n)) % 30]) for d, n in enumerate([0, 1, 90, 7, 7, 25, 3, 12])] + [(None, ["a", "1", None, "a"]), (3, ["1", "b"]), (99, None)]
+    state, curve = programs.lda(spark.createDataFrame(docs, "doc long, words array<string>").coalesce(2), 3, 2, 4, 1.0)
+    docs = [(-1 if d is None else d, [w for w in ws or [] if w is not None]) for d, ws in docs]
+    zs, rng = [], lambda *key: np.random.default_rng([*key[:-1], key[-1] & 0xFFFFFFFF])
+    for d, ws in docs:
+        zs.append(rng(4, d).integers(0, 3, len(ws)))
+    for sweep in (1, 2):
+        table, ll = {w: np.zeros(3) for _, ws in docs for w in ws}, 0.0
+        for (_, ws), z in zip(docs, zs):
+            for w, k in zip(ws, z):
+                table[w][k] += 1
+        n_k = sum(table.values())
+        for (d, ws), z in zip(docs, zs):
+            u, n_d, own, of = rng(4, sweep, d).random(len(ws)), np.bincount(z, minlength=3).astype(float), n_k.copy(), {w: table[w].copy() for w in ws}
+            for i, w in enumerate(ws):
+                for x in (n_d, own, of[w]):
+                    x[z[i]] -= 1
+                p = np.cumsum((n_d + 1 / 3) * (of[w] + 0.1) / (own + len(table) * 0.1))
+                ll += np.log(p[-1] / (len(ws) - 1 + 1.0))
+                z[i] = np.searchsorted(p, u[i] * p[-1], "right")
+                for x in (n_d, own, of[w]):
+                    x[z[i]] += 1
+        assert curve[sweep - 1] == pytest.approx(ll / sum(map(len, zs)))
+    key = lambda x: (x[0], len(x[1]))
+    assert sorted(((-1 if r["doc"] is None else r["doc"], r["words"], r["z"]) for r in state.collect()), key=key) == sorted(((d, ws, z.tolist()) for (d, ws), z in zip(docs, zs)), key=key)
+    got = {r["w"]: r["c"] for r in gibbs.word_topics(state, 3).collect()}
+    assert sum(map(sum, got.values())) == sum(map(len, zs)) and got["b"] == np.bincount(zs[-2][1:], minlength=3).tolist()
+
+
 def test_lda_among_peers(spark):
     docs = spark.createDataFrame([(d, [f"w{(d % 2) * 5 + int(w)}" for w in np.random.default_rng(d).integers(0, 5, 20)]) for d in range(12)] + [(99, [])], "doc long, words array<string>")
     state, store = programs.lda_peer(docs, 2, 4, 3, share=0.6, alpha=1.0, acts=lambda p, n: p != "p0" or n % 2 == 0)
